@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe_coding
 from .external_shuffle import op5_external_shuffle
 
-QUERIES = {f.__name__: f for f in (op5_external_shuffle,)}
+QUERIES = {f.__name__: f for f in (op5_external_shuffle, op10_bpe_coding)}
 ORACLE_SQL: dict[str, str] = {}
