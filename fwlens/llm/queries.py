@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe_coding
+from .embeddings import op8_embedding_dedup
 from .external_shuffle import op5_external_shuffle
 from .packing import op7_best_fit_packing
 from .simhash import op9_simhash_dedup
 from .simple8b import op3_simple8b_ids
 
-QUERIES = {f.__name__: f for f in (op5_external_shuffle, op10_bpe_coding, op3_simple8b_ids, op7_best_fit_packing, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op5_external_shuffle, op10_bpe_coding, op3_simple8b_ids, op7_best_fit_packing, op9_simhash_dedup, op8_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
