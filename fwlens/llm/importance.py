@@ -1,10 +1,11 @@
 """Quality selection by importance resampling: hashed n-gram models of a target and of the raw corpus, Gumbel top-k.
 
 Texts are bags of hashed tokens and token pairs, with a slot of its own for a token that repeats the one before. The raw
-model counts all documents, the target model a sample of rows labelled good. A document's log-weight is the sum of
-log(target / raw) over its features; adding Gumbel noise and taking the k highest draws k documents without
+model counts all documents, the target model one half of a sample of rows labelled good. The ratio of a slot's
+probabilities is drawn towards one by ``SMOOTHING`` counts, so rare slots say little. A document's log-weight is the sum
+of log(target / raw) over its features; adding Gumbel noise and taking the k highest draws k documents without
 replacement in proportion to their weights. k is the number of documents whose weight reaches the threshold that parts
-the good and the bad of the labelled sample best.
+the good and the bad of the sample's other half best.
 
 Counts and log-ratios are whole numbers (fixed point), so sums do not depend on the order of rows. The noise of a
 document comes from a hash of its id. The k-th highest key is found exactly, by histograms of 16 bits of the key a round.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SLOT_BITS, SMOOTHING, SCALE = 14, 1.0, 1 << 20
+SLOT_BITS, SMOOTHING, SCALE = 14, 30.0, 1 << 20
 SAMPLE_ROWS = 6000
 CHUNK_BYTES = 1 << 20
 SPACE, PUNCTUATION, WORD = 0, 1, 2
@@ -95,25 +96,25 @@ def plain(df: DataFrame, *more: str) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(labelled_id, good) of about so many labelled documents, chosen by a hash of the id; a document is good if it is labelled so throughout and never toxic."""
+    """(labelled_id, good, target) of about so many labelled documents, chosen by a hash of the id; a document is good if it is labelled so throughout and never toxic. The good ones of one half make the target."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), F.min("quality").alias("quality"))
     one = one.where("good OR quality = 0")
     share = rows / max(1, one.count())
-    return one.where(F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select(F.col("doc_id").alias("labelled_id"), "good")
+    return one.where(F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select(F.col("doc_id").alias("labelled_id"), "good", (F.col("good") & (F.pmod(F.xxhash64(F.lit("target half"), "doc_id"), F.lit(2)) == 0)).alias("target"))
 
 
 def model_counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by slot of the target's features and of all documents'. sample: (labelled_id, good), of bounded size."""
-    flagged = plain(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    """Counts by slot of the target's features and of all documents'. sample: (labelled_id, good, target), of bounded size."""
+    flagged = plain(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << SLOT_BITS), np.int64)
         for batch in batches:
-            good = np.array(batch.column("good").to_pylist(), bool)
+            target = np.array(batch.column("target").to_pylist(), bool)
             for a, some in chunks(batch.column("text").to_pylist()):
                 slots, counts = features(some)
                 n[1] += np.bincount(slots, minlength=n.shape[1])
-                mine = np.repeat(good[a : a + len(some)], counts)
+                mine = np.repeat(target[a : a + len(some)], counts)
                 n[0] += np.bincount(slots[mine], minlength=n.shape[1])
         for k in range(2):
             some = np.flatnonzero(n[k])
@@ -127,8 +128,10 @@ def model_counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log(target / raw) by slot, in fixed point."""
-    model = lambda n: np.log((n + SMOOTHING) / (n.sum() + SMOOTHING * len(n)))
-    return np.rint((model(target) - model(raw)) * SCALE).astype(np.int64) if target.sum() else np.zeros(len(raw), np.int64)
+    if not target.sum():
+        return np.zeros(len(raw), np.int64)
+    expected = raw * (target.sum() / raw.sum())
+    return np.rint(np.log((target + SMOOTHING) / (expected + SMOOTHING)) * SCALE).astype(np.int64)
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, *, whole: bool = False) -> DataFrame:
@@ -193,7 +196,7 @@ class Resampling:
         sample = stored(labelled_sample(labels, sample_rows), "quality-sample")
         self.ratios = log_ratios(*model_counts(docs, sample))
         self.scores = stored(log_weights(docs, self.ratios).withColumn("key", gumbel_key(seed)), "scores")
-        known = self.scores.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("good", "log_weight").toArrow()
+        known = self.scores.join(F.broadcast(sample.where("NOT target")), F.col("doc_id") == F.col("labelled_id")).select("good", "log_weight").toArrow()
         good = known.column("good").to_numpy(zero_copy_only=False).astype(bool)
         weight = known.column("log_weight").to_numpy()
         least = threshold(weight[good], weight[~good])

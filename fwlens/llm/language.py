@@ -226,6 +226,18 @@ def languages(df: DataFrame, model: Model, spans: bool = True, id_col: str = "do
     return map_arrow(ids_and_texts(df, id_col, text_col), run, schema)
 
 
+def labelled_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(rec, lang_pred, score): the rows of df as structs, with the language of each whole text."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(F.struct("*").alias("rec"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [*labelled_batches(batch.column("text").to_pylist(), shared.value)]
+        return pa.RecordBatch.from_arrays([batch.column("rec"), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], names=["rec", "lang_pred", "score"])
+
+    return map_arrow(rows, run, f"rec {rows.schema['rec'].dataType.simpleString()}, lang_pred string, score double")
+
+
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
