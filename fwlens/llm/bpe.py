@@ -172,7 +172,8 @@ class Vocabulary:
             x, end_x, y, end_y = np.where(left, self.right[x], x), np.where(left, bx, end_x), np.where(left, y, self.left[y]), np.where(left, end_y, by)
         return good
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each word)."""
         raw = [w.encode() for w in words]
         out = [[self.special[w]] if w in self.special else self.propose(b) for w, b in zip(words, raw, strict=True)]
         sizes = np.array([len(x) for x in out])
@@ -185,7 +186,7 @@ class Vocabulary:
         for k in np.unique(owner[fails]).tolist():
             if words[k] not in self.special:
                 out[k] = self.merge(raw[k])
-        return out
+        return np.array([t for x in out for t in x], np.uint32), np.array([len(x) for x in out], np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each document's ids; bytes that are not UTF-8 become U+FFFD."""

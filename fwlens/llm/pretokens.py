@@ -11,6 +11,7 @@ gathering their ids gives what encoding the whole text gives. The cuts are those
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -76,39 +77,58 @@ def starts_of_words(cp: np.ndarray, first: np.ndarray, bare: bool) -> np.ndarray
 
 
 class Words:
-    """Distinct words and their ids, at most about ``most`` of them; forgets all when full."""
+    """Distinct words and their ids, about ``most`` of them; when full, it forgets the words met once, then the rarest.
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000):
-        self.encode, self.most = encode, most
-        self.clear()
+    encode gives for a list of words their ids, one after another, and how many each has."""
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+        self.encode, self.most = encode, most
+        self._set([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _set(self, words: list[str], ids: np.ndarray, size: np.ndarray, hits: np.ndarray) -> None:
+        self.place = dict(zip(words, range(len(words)), strict=True))
+        room = 2 * self.most
+        self.ids = np.concatenate([ids, np.zeros(max(1 << 16, len(ids)), np.uint32)])
+        self.size, self.hits = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (size, hits))
+        self.start = np.concatenate([np.cumsum(size) - size, np.zeros(room, np.int64)])
+        self.used = len(ids)
+
+    def forget(self) -> None:
+        n = len(self.place)
+        hits = self.hits[:n]
+        keep = hits > 1
+        if keep.sum() > self.most // 2:
+            keep = hits > np.partition(hits, n - self.most // 2)[n - self.most // 2]
+        kept = np.flatnonzero(keep)
+        words = [*self.place]
+        ids, size = self.gather(kept)
+        self._set([words[k] for k in kept.tolist()], ids, size, hits[kept] // 2)
 
     def add(self, words: list[str]) -> None:
-        found = [np.asarray(x, np.uint32) for x in self.encode(words)]
-        sizes = np.array([len(x) for x in found], np.int64)
+        flat, sizes = self.encode(words)
         n, m = len(self.place), len(words)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + m] = sizes
+        self.size[n : n + m], self.hits[n : n + m] = sizes, 0
         self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
         self.place.update(zip(words, range(n, n + m), strict=True))
 
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
-            self.clear()
-        if new := [w for w in set(words) if w not in self.place]:
-            self.add(new)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.forget()
+        out = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [words[k] for k in missing.tolist()]
+            self.add([*dict.fromkeys(new)])
+            out[missing] = [self.place[w] for w in new]
+        n = len(self.place)
+        self.hits[:n] += np.bincount(out, minlength=n)
+        return out
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, one after another, and how many each has."""

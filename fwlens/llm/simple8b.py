@@ -48,26 +48,25 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     full[:n] = ids
     grid[:, :block] = full.reshape(blocks, block)
     bits = bit_lengths(grid)
-    # for each place the selector with the most ids that fits there: maxima over windows of powers of two, joined
-    maxima = {1: bits}
-    size = 1
-    while size < 64:
+    # for each place the selector with the most ids that fits there: maxima over windows of powers of two, joined;
+    # selectors that hardly any window of so many independent ids would fit are not tried
+    below = np.cumsum(np.bincount(bits[:, :block].ravel(), minlength=65)) / max(1, blocks * block)
+    tried = [k for k in range(15, 0, -1) if below[SELECTORS[k][1]] ** SELECTORS[k][0] * n > 1e-3]
+    maxima, size = {1: bits}, 1
+    while tried and 2 * size <= SELECTORS[tried[-1]][0]:
         m = maxima[size].copy()
-        m[:, :-size] = np.maximum(maxima[size][:, :-size], maxima[size][:, size:])
+        np.maximum(m[:, :-size], maxima[size][:, size:], out=m[:, :-size])
         size *= 2
         maxima[size] = m
     choice = np.zeros((blocks, width), np.uint8)
-    undecided = np.ones((blocks, width), bool)
-    for s in range(1, 16):
+    for s in tried:
         count, b = SELECTORS[s]
         p = 1 << (count.bit_length() - 1)
         high = maxima[p]
         if count > p:
             high = high.copy()
-            high[:, : width - count + p] = np.maximum(high[:, : width - count + p], maxima[p][:, count - p :])
-        fits = undecided & (high <= b)
-        choice[fits] = s
-        undecided &= ~fits
+            np.maximum(high[:, : width - count + p], maxima[p][:, count - p :], out=high[:, : width - count + p])
+        np.copyto(choice, s, where=high <= b)
     # all blocks advance together
     at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
     ends = np.full(blocks, block)
