@@ -71,7 +71,7 @@ def narrowed_by_callees(candidates: DataFrame, positions: DataFrame, library_cal
 def guesses(sure: DataFrame, target_calls: DataFrame, library_calls: DataFrame) -> DataFrame:
     """(target, library, object_id, guessed): the names that sure matches give to what they call, paired by place of block and place within it. target_calls: (bin_faddr, block_pos, in_block, target); library_calls: (object_id, lib_faddr, block_pos, in_block, callee_name)."""
     places = ["block_pos", "in_block"]
-    at = sure.join(target_calls, "bin_faddr").join(library_calls, ["object_id", "lib_faddr", *places]).where("callee_name IS NOT NULL")
+    at = sure.join(target_calls.drop("pos"), "bin_faddr").join(library_calls.drop("pos"), ["object_id", "lib_faddr", *places]).where("callee_name IS NOT NULL")
     found = at.select("target", "library", "object_id", "bin_faddr", *places, F.col("callee_name").alias("guessed"))
     # several callers may name one function: the last in order has its way, as later guesses overwrite earlier ones
     last = Window.partitionBy("target").orderBy(F.desc("bin_faddr"), F.desc("block_pos"), F.desc("in_block"))

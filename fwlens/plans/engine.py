@@ -107,6 +107,7 @@ class Matches:
         sites = settled(sites, "target-calls")
         callee = lib.names.select("object_id", F.col("addr").alias("target"), F.col("name").alias("callee_name"))
         calls = call_positions(lib.tables.call_sites, ["object_id", "faddr"]).join(callee, ["object_id", "target"], "left").withColumnRenamed("faddr", "lib_faddr")
+        calls = calls.select("object_id", "lib_faddr", "pos", "block_pos", "in_block", "callee_name")
         calls = settled(calls.join(plain.select("object_id", "lib_faddr").distinct(), ["object_id", "lib_faddr"], "left_semi"), "library-calls")
         addresses = target.tables.call_sites.select("object_id", "target").distinct()
         inside = settled(inside_regions(addresses, loaded_regions(target.tables.regions), ["object_id"], "target").select("target").distinct(), "inside")
