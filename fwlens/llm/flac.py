@@ -250,7 +250,7 @@ def read_metadata(media: bytes) -> Stream | None:
             s.rate, s.channels, s.bits, s.samples = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & ((1 << 36) - 1)
             s.md5 = body[18:34]
         elif kind == 3:
-            points = np.frombuffer(body[: size // 18 * 18], SEEK_POINT)
+            points = np.frombuffer(body[: len(body) // SEEK_POINT.itemsize * SEEK_POINT.itemsize], SEEK_POINT)
             s.points = points[points["sample"] != 0xFFFFFFFFFFFFFFFF]
     s.first = at
     return s if s.block else None

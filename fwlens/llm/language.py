@@ -183,6 +183,8 @@ def label_texts(texts: list[str], model: Model) -> list[tuple[str, float, list[t
     # few code points become several in lower case; such texts are taken as they are, so that places hold
     lowered = [a if len(a) == len(b) else b for a, b in zip(lowered, texts, strict=True)]
     w = words_of(lowered)
+    if not len(w.size):
+        return out
     counts = np.bincount(w.text, minlength=len(texts))
     labels = model.paths(model.scores(w), counts)
     k = len(model.languages)

@@ -1,0 +1,462 @@
+"""The operators on texts: round trips, brute force, and the odd cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from fwlens.llm import bpe, external_shuffle, flac, importance, language, packing, secret_scan, simple8b
+from fwlens.llm.library_tokens import library_encoder
+
+BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+TEXTS = st.text(alphabet=st.one_of(st.sampled_from("abcdeTHE's ' \n\t.!1é"), st.characters(codec="utf-8")), max_size=60)
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+# media
+
+
+def test_flac_round_trip():
+    rng = np.random.default_rng(0)
+    payloads = [b" " * 192, bytes(rng.integers(0, 256, 192 * 11).astype(np.uint8)), b"\0" * 960 + b"\xff" * 960, flac.payload_of("words and words " * 900), flac.payload_of("日本語テキスト" * 300)]
+    medias = flac.encode_payloads(payloads)
+    assert flac.encode_payloads(payloads[3:4]) == medias[3:4]
+    for p, m, (s, frames) in zip(payloads, medias, flac.decode_streams(medias), strict=True):
+        assert flac.verified(s, frames) and b"".join(flac.pcm(f, 8) for f in frames) == p
+        for at in (0, len(p) // 2, len(p) - 1):
+            f = flac.seek(m, at)
+            assert f.first <= at < f.first + f.samples.shape[1] and flac.pcm(f, 8)[at - f.first] == p[at]
+        assert flac.seek(m, len(p)) is None
+
+
+def test_flac_without_seek_table_and_damaged():
+    payload = flac.payload_of("some text to store, again and again. " * 200)
+    m = flac.encode_payloads([payload])[0]
+    first = flac.read_metadata(m).first
+    bare = b"fLaC\x80" + m[5:42] + m[first:]
+    s, frames = flac.decode_streams([bare])[0]
+    assert not len(s.points) and flac.verified(s, frames) and b"".join(flac.pcm(f, 8) for f in frames) == payload
+    hurt = bytearray(m)
+    hurt[len(m) - 40] ^= 4
+    assert not flac.verified(*flac.decode_streams([bytes(hurt)])[0])
+    assert [flac.verified(*x) for x in flac.decode_streams([None, b"", b"fLaC", m[:60], m[: len(m) // 2]])] == [False] * 5
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, x, n):
+        self.bits += [(x >> (n - 1 - i)) & 1 for i in range(n)]
+
+    def rice(self, e, k):
+        u = 2 * e if e >= 0 else -2 * e - 1
+        self.bits += [0] * (u >> k) + [1]
+        self.put(u & ((1 << k) - 1), k)
+
+    def bytes(self):
+        return np.packbits(np.array(self.bits, np.uint8)).tobytes()
+
+
+def crc(data, polynomial, width):
+    x = 0
+    for b in data:
+        x ^= b << (width - 8)
+        for _ in range(8):
+            x = ((x << 1) ^ polynomial if x >> (width - 1) else x << 1) & ((1 << width) - 1)
+    return x
+
+
+@pytest.mark.parametrize("mode", [1, 8, 9, 10])
+def test_flac_features_of_other_encoders(mode):
+    """A hand-made stereo stream of 16 bits: wasted bits, order-2 prediction, 5-bit Rice parameters, an escape, all decorrelations."""
+    rng = np.random.default_rng(mode)
+    left = (rng.integers(-500, 500, 192) * 4).astype(int)
+    right = (left + rng.integers(-20, 20, 192) * 4).astype(int)
+    side, mid = left - right, (left + right) >> 1
+    planes = {1: (left, right), 8: (left, side), 9: (side, right), 10: (mid, side)}[mode]
+    head = BitWriter()
+    for x, n in ((0x3FFE, 14), (0, 2), (1, 4), (9, 4), (mode, 4), (4, 3), (0, 1), (0, 8)):
+        head.put(x, n)
+    w = BitWriter()
+    raw = head.bytes()
+    w.bits = head.bits
+    w.put(crc(raw, 0x07, 8), 8)
+    for c, plane in enumerate(planes):
+        bits = 16 + ((mode == 8 and c == 1) or (mode == 9 and c == 0) or (mode == 10 and c == 1))
+        wasted = 1 if mode == 1 else 0
+        w.put(0, 1)
+        w.put(8 + 2, 6)
+        w.put(wasted, 1)
+        if wasted:
+            w.put(1, 1)
+        x = plane >> wasted
+        for v in x[:2]:
+            w.put(int(v) & ((1 << (bits - wasted)) - 1), bits - wasted)
+        e = x[2:] - 2 * x[1:-1] + x[:-2]
+        w.put(1, 2)
+        w.put(1, 4)
+        w.put(9, 5)
+        for v in e[:94]:
+            w.rice(int(v), 9)
+        w.put(31, 5)
+        w.put(20, 5)
+        for v in e[94:]:
+            w.put(int(v) & ((1 << 20) - 1), 20)
+    frame = w.bytes()
+    frame += crc(frame, 0x8005, 16).to_bytes(2, "big")
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + ((44100 << 44) | (1 << 41) | (15 << 36) | 192).to_bytes(8, "big") + bytes(16)
+    s, frames = flac.decode_streams([b"fLaC\x80\x00\x00\x22" + info + frame])[0]
+    assert flac.verified(s, frames) and (frames[0].samples == np.stack([left, right])).all()
+    assert np.frombuffer(flac.pcm(frames[0], 16), "<i2").tolist() == np.stack([left, right], 1).ravel().tolist()
+
+
+def test_flac_query(odd, none):
+    media = flac.text_media(odd)
+    got = flac.media_digests(media).collect()
+    want = Counter()
+    for i, t in texts_of(odd):
+        p = flac.payload_of(t)
+        assert len(p) % 192 == 0 and p
+        want[i, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    assert all(r["ok"] for r in got) and len({r["media_sha256"] for r in got if r["doc_id"] in (5, 6)}) == 1
+    blocks = flac.pcm_blocks(media.where("doc_id = 5")).orderBy("first_sample").collect()
+    assert [b["first_sample"] for b in blocks] == [1024 * k for k in range(len(blocks))] and all(b["ok"] for b in blocks)
+    assert flac.media_digests(flac.text_media(none)).count() == 0
+
+
+# secrets
+
+
+def test_base_spans_as_stated():
+    text = 'PassWord: "short" token=token=abcdefgh xAKIA1234567890AB apikey:\'k9/+_.=-k\' ' + "0123456789abcdef" * 3 + " api_key = 12345678 AKIAAAAAAAAAAAAAA ſecret=aaaaaaaaaa"
+    want = []
+    for kind, (p, least, group) in enumerate([(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 1), (r"AKIA[A-Z0-9]+", 16, 0), (r"[0-9a-f]+", 32, 0)]):
+        want += [(m.start(), kind, m.end()) for m in re.finditer(p, text) if len(m.group(group)) >= least]
+    assert secret_scan.base_spans(text) == sorted(want) and {k for _, k, _ in want} == {0, 1, 2}
+
+
+def test_automata_tell_formats_apart():
+    model = secret_scan.default_model()
+    fresh = secret_scan.labelled_strings(100, 7)
+    ratio, best = model.scores([s for *_, s in fresh])
+    secret = np.array([s for _, s, _ in fresh])
+    assert (ratio[secret] >= model.threshold).mean() > 0.97 and (ratio[~secret] >= model.threshold).mean() < 0.01
+    assert model.scores(["a" * 20000])[0].shape == (1,)
+
+
+def test_merging_generalises():
+    rng = np.random.default_rng(3)
+    a = secret_scan.Automaton(["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(200)])
+    assert len(a.states) <= 5 and {c for s in a.states for c in a.next[s]} == {0, 1}
+    fixed = secret_scan.Automaton(["ab12"] * 100 + ["xy"] * 100)
+    logp, step, end = fixed.arrays()
+    assert len(fixed.states) > 2 and logp.max() <= 0 and end.max() <= 0
+
+
+def test_secret_query(odd, none):
+    got = secret_scan.secrets(odd).collect()
+    assert len(got) == odd.count() and secret_scan.secrets(none).count() == 0
+    one = {r["doc_id"]: r for r in got}
+    text = dict(texts_of(odd))[1]
+    span = f"assign:{text.index('token')}:{len(text) - 1}"
+    assert one[1]["spans"] == span and one[1]["base_sha256"] == hashlib.sha256(span.encode()).hexdigest() and one[1]["n_assign"] == 1
+    assert one[2]["spans"] == "" and one[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_spans_are_added_and_masked(spark):
+    key = "sk_live_" + "Zx81kQp0Lm47TyVb92RsWd3c"
+    df = spark.createDataFrame([(1, f"key {key} and token=abcdefgh1", "a"), (2, "plain words", "b"), (3, None, "c")], "doc_id long, text string, text2 string")
+    r = secret_scan.secrets(df).where("doc_id = 1").first()
+    assert r["n_format"] == 1 and r["spans"].startswith(f"format:4:{4 + len(key)},assign:")
+    assert [x["text"] for x in secret_scan.redacted(df).orderBy("doc_id").collect()] == ["key <secret> and <secret>", "plain words", None]
+
+
+# ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=5))
+def test_own_bpe_is_the_librarys(texts):
+    vocabulary, encoder = bpe.coder(bpe.read_vocabulary(BYTE))
+    ids, counts = encoder.encode(texts)
+    library = Tokenizer.from_file(BYTE)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert vocabulary.decode(ids, counts) == [library.decode(x, skip_special_tokens=False) for x in want]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=5), st.sampled_from([BYTE, WORD]))
+def test_words_encoded_once_give_the_librarys_ids(texts, path):
+    ids, counts = library_encoder(bpe.read_vocabulary(path)).encode(texts)
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_speculation_agrees_with_exact_merging():
+    v, _ = bpe.coder(bpe.read_vocabulary(BYTE))
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("etaoinshrdlu "), n)) for n in rng.integers(1, 120, 800)] + ["aaaaaaaaaaaa", " the", "é" * 70]
+    ids, sizes = v.encode_words(words)
+    assert ids.tolist() == [t for w in words for t in v.merge(w.encode())]
+    proposed = [v.propose(w.encode()) for w in words]
+    kept = sum(p == v.merge(w.encode()) for w, p in zip(words, proposed, strict=True))
+    assert 0 < kept < len(words)
+
+
+def test_forgetting_words():
+    v, _ = bpe.coder(bpe.read_vocabulary(BYTE))
+    from fwlens.llm.pretokens import Words
+
+    w = Words(v.encode_words, most=50)
+    for k in range(40):
+        words = ["the"] + [f"w{k}{j}" for j in range(20)]
+        ids, sizes = w.gather(w.places(words))
+        assert ids.tolist() == [t for x in words for t in v.merge(x.encode())]
+    assert "the" in w.place and len(w.place) < 100
+
+
+def test_bpe_query(odd, none):
+    library = Tokenizer.from_file(BYTE)
+    want = Counter()
+    for i, t in texts_of(odd):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe.coded(odd, BYTE, digests=True).collect())) == want
+    rows = bpe.coded(odd.where("doc_id = 7"), BYTE).collect()
+    assert len(rows) == 2 and rows[0]["decoded"] == dict(texts_of(odd))[7]
+    assert bpe.coded(none, BYTE).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60000), st.integers(2**59, 2**64 - 1)), max_size=3000))
+def test_simple8b_round_trip(ids):
+    ids = np.array(ids, np.uint64)
+    words, blocks = simple8b.encode(ids)
+    assert (simple8b.decode(words, blocks, len(ids)) == ids).all() and len(blocks) == -(-len(ids) // simple8b.BLOCK)
+
+
+def test_simple8b_blocks_stand_alone():
+    ids = np.random.default_rng(0).integers(0, 50000, 5000).astype(np.uint64)
+    words, blocks = simple8b.encode(ids)
+    for k, a in enumerate(blocks):
+        stop = blocks[k + 1] if k + 1 < len(blocks) else len(words)
+        own = ids[k * 1024 : (k + 1) * 1024]
+        assert (simple8b.decode(words[a:stop], np.array([0]), len(own)) == own).all()
+
+
+def test_simple8b_files(spark, odd, none, tmp_path):
+    library = Tokenizer.from_file(BYTE)
+    simple8b.write_ids(odd, BYTE, str(tmp_path / "ids"))
+    start, want = 0, []
+    for i, t in sorted(texts_of(odd)):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
+        start += len(ids)
+    got = sorted(map(tuple, simple8b.read_documents(spark, str(tmp_path / "ids")).collect()))
+    assert got == want
+    simple8b.write_ids(none, BYTE, str(tmp_path / "none"))
+    assert simple8b.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+# packing
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12))
+def test_plans_hold_all(histogram):
+    chosen = packing.plan(histogram, 64, rounds=20)
+    held = Counter()
+    for config, n in chosen:
+        assert sum(k * m for k, m in config) <= 64 and n > 0
+        for k, m in config:
+            held[k] += m * n
+    assert held == Counter(histogram)
+    assert sum(n for _, n in chosen) >= -(-sum(k * n for k, n in histogram.items()) // 64)
+
+
+def test_linear_program_beats_best_fit():
+    lengths = np.random.default_rng(2).integers(500, 1200, 20000)
+    histogram = dict(Counter(lengths.tolist()))
+    assert sum(n for _, n in packing.plan(histogram)) < sum(packing.best_fit(histogram, 2048).values())
+
+
+def test_knapsack_is_exact():
+    prices, lengths = np.array([3.0, 4.0, 9.0]), np.array([2, 3, 5])
+    got = packing.knapsack(prices, lengths, 11, {2: 9, 3: 9, 5: 9})
+    best = max((3 * a + 4 * b + 9 * c) for a in range(6) for b in range(4) for c in range(3) if 2 * a + 3 * b + 5 * c <= 11)
+    assert sum(dict(zip(lengths.tolist(), prices, strict=True))[k] * n for k, n in got.items()) == best
+
+
+def test_packing_query(odd, none):
+    library = Tokenizer.from_file(WORD)
+    want = Counter()
+    for i, t in texts_of(odd):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 512):
+            want[i, k // 512, k, len(ids[k : k + 512]), zlib.crc32(ids[k : k + 512].tobytes())] += 1
+    rows = packing.packed(odd, WORD, capacity=512).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert packing.packed(none, WORD).count() == 0
+    ids = packing.packed(odd, WORD, capacity=512, ids=True).where("doc_id = 9").select("ids", "ids_crc32").first()
+    assert zlib.crc32(np.array(ids["ids"], "<u4").tobytes()) == ids["ids_crc32"]
+
+
+# shards
+
+
+def test_shards(spark, odd, none):
+    df = odd.unionByName(odd).unionByName(odd.limit(3))
+    out = external_shuffle.shuffle_to_shards(df, shards=4, bucket_bytes=4096).cache()
+    rows = out.collect()
+    n = Counter(r["shard"] for r in rows)
+    assert len(rows) == df.count() and max(n.values()) - min(n.values()) <= 1 and set(n) == set(range(4))
+    for k in n:
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(n[k]))
+    assert Counter(str(r["rec"]) for r in rows) == Counter(map(str, df.collect()))
+    assert external_shuffle.shuffle_to_shards(none).count() == 0
+
+
+def test_shuffle_is_seeded_and_mixes(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    order = lambda seed: [r["rec"]["doc_id"] for r in external_shuffle.shuffle_to_shards(df, shards=2, seed=seed, bucket_bytes=9000).orderBy("shard", "slot").collect()]
+    a, b = order(1), order(1)
+    assert a == b != order(2) and sorted(a) == list(range(2000))
+    assert abs(np.corrcoef(a, range(2000))[0, 1]) < 0.1 and np.mean(np.abs(np.diff(a)) == 1) < 0.02
+
+
+# language
+
+
+def test_languages_and_spans(spark):
+    english, french = "the cat and the dog went with that man to their house ", "le chat et les chiens sont dans une maison avec nous "
+    rows = [(k, (english if k % 2 else french) * 4, "en" if k % 2 else "fr") for k in range(80)] + [(900 + k, "это просто русский текст для проверки", "ru") for k in range(20)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(train)
+    (_, share, spans), (russian, *_), *rest = language.label_texts([english * 3 + french * 3 + english, "проверки 日本", "", "123 !!", "日本"], model)
+    assert [s[2] for s in spans] == ["en", "fr", "en"] and abs(spans[1][0] - 3 * len(english)) < 8 and 0.5 < share < 0.6
+    assert russian == "ru" and rest[0] == rest[1] == ("und", 0.0, []) and rest[2][0] in ("en", "fr", "ru")
+
+
+def brute_path(scores, penalty):
+    best = None
+    from itertools import product
+
+    for path in product(range(scores.shape[1]), repeat=len(scores)):
+        value = sum(scores[k, p] for k, p in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        if best is None or value > best + 1e-12:
+            best = value
+    return best
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(0)
+    model = language.Model(["a", "b", "c"], np.zeros((1, 3)), np.zeros((1, 3)), penalty=1.0)
+    counts = np.array([4, 0, 1, 6, 3])
+    scores = rng.normal(size=(14, 3))
+    labels, at = model.paths(scores, counts), 0
+    for n in counts:
+        own, path = scores[at : at + n], labels[at : at + n]
+        value = sum(own[k, p] for k, p in enumerate(path)) - sum(a != b for a, b in zip(path, path[1:], strict=False))
+        assert not n or value == pytest.approx(brute_path(own, 1.0))
+        at += n
+
+
+def test_language_query(odd, none):
+    model = language.default_model(odd)
+    got = language.languages(odd, model).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        letters = any(c.isalpha() for c in dict(texts_of(odd))[r["doc_id"]])
+        assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
+    assert language.languages(none, model).count() == 0
+    empty = language.default_model(none)
+    assert {r["lang_pred"] for r in language.languages(odd, empty).collect()} == {"und"}
+    assert language.labelled_rows(odd, model).select("rec.*").columns == odd.columns
+
+
+# quality
+
+
+def brute_features(text):
+    """Tokens and pairs by plain Python; slots are compared through the operator's own hashing of single tokens."""
+    return re.findall(r"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s\x00]+", text.encode().decode("latin-1"))
+
+
+def test_features_are_tokens_and_pairs():
+    texts = ["The cat, the cat!! ü", "", "a a a", "x"]
+    slots, counts = importance.features([t.encode() for t in texts])
+    at = 0
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        tokens = brute_features(t)
+        assert n == max(0, 2 * len(tokens) - 1)
+        alone = [importance.features([x.encode("latin-1")])[0][0] for x in tokens]
+        assert slots[at : at + len(tokens)].tolist() == alone
+        if t == "a a a":
+            assert slots[at + 3 : at + 5].tolist() == [(1 << importance.SLOT_BITS) - 1] * 2
+        at += n
+
+
+def quality_corpus(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(words, 60)) if k % 5 else " ".join(w.upper() + "!!" for w in rng.choice(words, 60))) for k in range(600)]
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(0, 600, 2)] + [(1000, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_resampling(spark):
+    docs, labels = quality_corpus(spark)
+    r = importance.Resampling(docs, labels)
+    got = {x["doc_id"]: x for x in r.decisions().collect()}
+    assert len(got) == 602 and got[1000]["log_weight"] == got[1001]["log_weight"] == 0.0
+    assert np.mean([got[k]["kept"] for k in range(600) if k % 5]) > 0.97 and np.mean([got[k]["kept"] for k in range(0, 600, 5)]) < 0.03
+    keys = sorted((x["gumbel_key"] for x in got.values()), reverse=True)
+    assert sum(x["kept"] for x in got.values()) == sum(k >= keys[r.k - 1] for k in keys)
+    assert {x["doc_id"] for x in r.drawn(docs).collect()} == {k for k, x in got.items() if x["kept"]}
+    assert r.drawn(docs).columns == docs.columns
+
+
+def test_resampling_without_labels_and_rows(spark, odd, none):
+    docs, labels = quality_corpus(spark)
+    assert all(x["kept"] for x in importance.Resampling(odd, labels.limit(0)).decisions().collect())
+    assert importance.Resampling(none, labels).decisions().count() == 0
+    assert sorted(map(str, importance.Resampling(odd, labels.limit(0)).drawn(odd).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_kth_highest(spark):
+    values = [int(x) for x in np.random.default_rng(0).integers(-(2**62), 2**62, 300)] + [5] * 10 + list(range(-20, 20))
+    df = spark.createDataFrame([(v,) for v in values], "key long")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 7, 150, 200, len(values)):
+        assert importance.kth_highest(df, k) == ordered[k - 1]
+
+
+def test_gumbel_top_k_draws_by_weight(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, int(np.log(3) * importance.SCALE)).otherwise(0).cast("long").alias("log_weight"))
+    top = df.withColumn("key", importance.gumbel_key()).orderBy(F.desc("key")).limit(1000).where("doc_id % 2 = 0").count()
+    assert 700 < top < 800
