@@ -454,7 +454,7 @@ def decode_streams(medias: list[bytes | None]) -> list[tuple[Stream | None, list
         if s:
             begins = sorted({s.first, *(s.first + s.points["byte"].astype(np.int64)).tolist()})
             begins = [b for b in begins if b < len(medias[k])]
-            cursors += zip([k] * len(begins), begins, [*begins[1:], len(medias[k])], strict=True)
+            cursors += zip([k] * len(begins), begins, [*begins[1:], len(medias[k])][: len(begins)], strict=True)
     found: list[list[Frame]] = [[] for _ in medias]
     while cursors:
         some, cursors = cursors[-FRAMES_AT_ONCE:], cursors[:-FRAMES_AT_ONCE]
