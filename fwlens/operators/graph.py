@@ -12,6 +12,8 @@ from fwlens.operators.attributes import FAR
 from fwlens.plans.storage import settled
 
 CALL = "Ijk_Call"
+#: hops after which the frontiers so far are written together
+COMPACT = 16
 
 
 def contract(heads: dict[int, bool], edges: Iterable[tuple[int, int]]) -> dict[int, list[int]]:
@@ -87,14 +89,16 @@ def ordered_successors(edges: DataFrame, keys: list[str], src: str = "src", dst:
 def hops(starts: DataFrame, edges: DataFrame, keys: list[str], node: str = "node", most: int = FAR) -> DataFrame:
     """(keys, node, dist): the least number of edges (src, dst) from any start, by frontiers; what is not reached is left out."""
     cols = [*keys, node]
-    own = edges.select(*keys, F.col("src").alias(node), "dst").distinct()
-    reached = settled(starts.select(*cols).distinct().withColumn("dist", F.lit(0)), "hops")
-    frontier, step = reached, 0
+    own = settled(edges.select(*keys, F.col("src").alias(node), "dst").distinct(), "edges")
+    frontier, step = settled(starts.select(*cols).distinct().withColumn("dist", F.lit(0)), "frontier"), 0
+    reached = frontier
     while step < most and frontier.limit(1).count():
         step += 1
         found = frontier.select(*cols).join(own, cols).select(*keys, F.col("dst").alias(node)).distinct()
         frontier = settled(found.join(reached.select(*cols), cols, "left_anti").withColumn("dist", F.lit(step)), "frontier")
-        reached = settled(reached.unionByName(frontier), "hops")
+        reached = reached.unionByName(frontier)
+        if step % COMPACT == 0:
+            reached = settled(reached, "hops")
     return reached
 
 
