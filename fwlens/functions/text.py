@@ -76,3 +76,9 @@ def ast_ratio(a: Column, b: Column) -> Column:
     common = F.aggregate(F.transform(names, lambda x: F.least(times(a, x), times(b, x))), F.lit(0), lambda s, x: s + x)
     ratio = F.when(F.array_sort(a) == F.array_sort(b), 1.0).otherwise(quick_ratio(common, F.size(a), F.size(b)))
     return F.when(a.isNull() | b.isNull(), 0.0).otherwise(ratio)
+
+
+def part_hashes(code: Column) -> Column:
+    """Three digests of a text: as it is, of its normalised form, and of its normalised lines in any order. Texts that agree in a later one are alike though not equal."""
+    normal = normalise_pseudocode(code)
+    return F.array(F.sha2(code, 256), F.sha2(normal, 256), F.sha2(F.array_join(F.array_sort(F.split(normal, "\n")), "\n"), 256))

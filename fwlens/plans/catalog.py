@@ -12,6 +12,7 @@ from fwlens.functions import text as txt
 from fwlens.operators import filters, graph, legacy, matching, refine, scoring
 from fwlens.operators.attributes import counted
 from fwlens.operators.function_diff import mutual_nearest, positional_changes, unmatched
+from fwlens.plans.storage import settled
 from fwlens.sources.binaries import cortex_header, library_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +137,7 @@ WHERE l_orderkey < 100 AND l_linenumber = 1 AND c_nationkey <> s_nationkey), n A
 
 
 def _nation_graph(spark, sf):
-    edges = _nation_edges(spark, sf, (F.col("l_orderkey") < 100) & (F.col("l_linenumber") == 1))
+    edges = settled(_nation_edges(spark, sf, (F.col("l_orderkey") < 100) & (F.col("l_linenumber") == 1)), "edges")
     return edges, edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 

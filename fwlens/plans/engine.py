@@ -13,6 +13,7 @@ from fwlens.operators.function_diff import compared, packed_functions
 from fwlens.operators.graph import contracted_graph
 from fwlens.operators.matching import ATTRIBUTES, best_with_ties, first_order, shape_signatures, squished
 from fwlens.operators.refine import ORDER, call_positions, named_by_callers, narrowed_by_callees, without_used_names
+from fwlens.operators.sequential import refined as in_order
 from fwlens.operators.scoring import class_counts, classified, outcomes, result_map, score
 from fwlens.plans.storage import settled
 from fwlens.schema import Tables
@@ -29,6 +30,8 @@ class Options:
     #: last phase: 1 attributes, 2 comparison and best scores, 3 callees, 4 callers, 5 used names
     max_phase: int = 5
     min_similarity: float | None = None
+    #: refine in order of addresses, with recursion, in one task for the image, instead of in synchronous rounds
+    sequential: bool = False
 
 
 @dataclass
@@ -112,8 +115,11 @@ class Matches:
         addresses = target.tables.call_sites.select("object_id", "target").distinct()
         inside = settled(inside_regions(addresses, loaded_regions(target.tables.regions), ["object_id"], "target").select("target").distinct(), "inside")
         banned = target.banned.select(F.col("faddr").alias("target"))
-        refined = narrowed_by_callees(plain, sites, calls, banned, inside)
-        if options.max_phase >= 4:
+        if options.sequential:
+            refined = settled(in_order(plain, sites, calls, banned, inside, callers=options.max_phase >= 4), "refined")
+        else:
+            refined = narrowed_by_callees(plain, sites, calls, banned, inside)
+        if options.max_phase >= 4 and not options.sequential:
             refined = named_by_callers(refined, sites, calls, banned, inside)
         if options.max_phase >= 5:
             refined = settled(without_used_names(refined), "refined")

@@ -72,3 +72,16 @@ def batches(df: DataFrame, size: int = 1000) -> Iterator[list]:
             held = []
     if held:
         yield held
+
+
+SIGNATURES = "archive STRING, member STRING, name STRING, addr BIGINT, symbol STRING, ok BOOLEAN"
+
+
+def write_signatures(signatures: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Signatures of single objects (no archive) and of the members of archives; a member that could not be read has one row with ok = false."""
+    signatures.select("archive", "member", "name", "addr", "symbol", "ok").write.mode(mode).parquet(path)
+
+
+def load_signatures(spark: SparkSession, path: str, archive: str | None = None) -> DataFrame:
+    found = spark.read.schema(SIGNATURES).parquet(path)
+    return found if archive is None else found.where(F.col("archive") == archive)

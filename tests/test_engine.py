@@ -1,6 +1,7 @@
 import pytest
 
 from fixture import SHIFT, world
+from fwlens.operators.sequential import Image
 from fwlens.plans.engine import Engine, Options, neighbours_of
 from fwlens.schema import DDL, Tables, checked
 from fwlens.sources.exports import printable_blocks, printable_matches, symbol_dump, symbol_yaml
@@ -27,6 +28,25 @@ def test_names(result):
     assert names(result.names) == {0x100: "copy", 0x200: "pack", 0x300: "send", 0x600: "main", 0x900: "helper"}
 
 
+def test_sequential_refinement_agrees_here(tables):
+    found = Engine(tables.of("lib"), Options(sequential=True)).match(tables.of("target")).result()
+    assert names(found.names) == {0x100: "copy", 0x200: "pack", 0x300: "send", 0x600: "main", 0x900: "helper"}
+
+
+def test_order_matters_in_sequential_refinement():
+    # f's callee g is settled first, but f still sees the names that g had before
+    c = lambda n, a: ("l", "o", a, n, 1.0, False)
+    image = lambda: Image({1: [c("f", 10), c("e", 11)], 2: [c("g", 20), c("h", 21)], 3: [c("x", 30)]}, {1: [[2]], 2: [[3]]}, {("o", 10): [["g"]], ("o", 11): [["h"]], ("o", 20): [["x"]], ("o", 21): [["y"]]}, {1, 2, 3}, set())
+    i = image()
+    i.refine(callers=False)
+    assert [x[3] for x in i.candidates[2]] == ["g"] and [x[3] for x in i.candidates[1]] == ["f", "e"]
+    i.by_callees(1)
+    assert [x[3] for x in i.candidates[1]] == ["f"]
+    i = Image({1: [c("f", 10)], 2: [c("z", 20)]}, {1: [[2, 9]]}, {("o", 10): [["x", "y"]]}, {1, 2, 9}, {9})
+    i.refine()
+    assert i.candidates[2] == [("l", "o", None, "x", None, True)] and 9 not in i.candidates
+
+
 def test_classes_and_counts(result):
     assert {r["addr"] - SHIFT: r["class"] for r in result.classes.collect()}[0x500] == "junk"
     assert result.counts.first().asDict() == {"collisions": 0, "junk": 1, "matched": 5, "guesses": 1}

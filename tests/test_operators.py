@@ -255,6 +255,8 @@ def test_text(spark):
     assert value(spark, txt.strip_header(F.lit("int f()\n//c\n{\n}"))) == "{\n}"
     assert value(spark, txt.ast_ratio(array("a", "b", kind="string"), array("b", "a", kind="string"))) == 1.0
     assert value(spark, txt.ast_ratio(array("a", "b", kind="string"), array("a", "c", kind="string"))) == 0.5
+    a, b = (value(spark, txt.part_hashes(F.lit(x))) for x in ("x = sub_1(v1);\ny", "y\nx = sub_2(v9);"))
+    assert a[0] != b[0] and a[1] != b[1] and a[2] == b[2]
     pairs = spark.createDataFrame([(1, "a\nb", "b\nc"), (2, None, "x"), (3, "a", "a")], "k int, x string, y string")
     assert {r["k"]: (r["quick"], r["real_quick"]) for r in txt.line_ratios(pairs, "k", "x", "y").collect()} == {1: (0.5, 1.0), 2: (0.0, 0.0), 3: (1.0, 1.0)}
 
@@ -281,6 +283,13 @@ def test_decompiled_records(spark, tmp_path):
     assert [len(b) for b in tables.batches(spark.range(5), 2)] == [2, 2, 1]
 
 
+def test_signatures(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a.o", "a.o", 1, "f", True), ("lib.a", "b.o", "lib.a", 2, "g", True), ("lib.a", "bad.o", "lib.a", None, None, False)], tables.SIGNATURES)
+    tables.write_signatures(rows, str(tmp_path / "s"))
+    assert tables.load_signatures(spark, str(tmp_path / "s")).count() == 3
+    assert {r["member"]: r["ok"] for r in tables.load_signatures(spark, str(tmp_path / "s"), "lib.a").collect()} == {"b.o": True, "bad.o": False}
+
+
 def test_call_graph_files(spark, tmp_path):
     edges = spark.createDataFrame([("a", 1, "b", 2)], "src_object string, src long, dst_object string, dst long")
     tables.write_iocg(edges, str(tmp_path))
