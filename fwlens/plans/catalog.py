@@ -159,7 +159,7 @@ def bfs_exit(spark, sf):
 @query("""WITH stub AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0), strong AS (SELECT p_name, min(p_partkey) AS f FROM part WHERE p_partkey % 3 = 1 GROUP BY 1)
 SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem ANTI JOIN stub ON l_partkey = p_partkey
 UNION SELECT DISTINCT l_suppkey, f FROM lineitem JOIN stub ON l_partkey = p_partkey JOIN strong USING (p_name)""")
-def iocg_edges(spark, sf):
+def inter_object_edges(spark, sf):
     """Direct calls, and calls of stubs led to the function of the stub's name; the database has one function for each name."""
     lines, parts = read(spark, sf, "lineitem", "part")
     one = F.lit("one")
@@ -170,7 +170,7 @@ def iocg_edges(spark, sf):
 
 
 @query("SELECT p_name AS name, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1 HAVING count(*) > 1")
-def iocg_collisions(spark, sf):
+def export_collisions(spark, sf):
     """Strong names that several functions export."""
     parts = read(spark, sf, "part")
     return graph.collisions(parts.select(F.col("p_name").alias("name"), (F.col("p_size") <= 10).alias("is_weak")))

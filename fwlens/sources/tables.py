@@ -34,16 +34,16 @@ def build_database(lifted: Tables, files: DataFrame) -> tuple[Tables, DataFrame]
     return Tables(**{**vars(lifted), "objects": objects}).of("lib"), bad
 
 
-def iocg_edges_path(path: str) -> str:
-    return f"{path}/iocg"
+def call_graph_path(path: str) -> str:
+    return f"{path}/call_graph"
 
 
-def write_iocg(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    edges.write.mode(mode).parquet(iocg_edges_path(path))
+def write_call_graph(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    edges.write.mode(mode).parquet(call_graph_path(path))
 
 
-def load_iocg(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.parquet(iocg_edges_path(path))
+def load_call_graph(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.parquet(call_graph_path(path))
     if missing := {"src_object", "src", "dst_object", "dst"}.difference(found.columns):
         raise ValueError(f"call graph: columns {sorted(missing)} are missing")
     return found

@@ -292,11 +292,11 @@ def test_signatures(spark, tmp_path):
 
 def test_call_graph_files(spark, tmp_path):
     edges = spark.createDataFrame([("a", 1, "b", 2)], "src_object string, src long, dst_object string, dst long")
-    tables.write_iocg(edges, str(tmp_path))
-    assert tables.load_iocg(spark, str(tmp_path)).collect() == edges.collect()
-    edges.drop("dst").write.parquet(str(tmp_path / "bad" / "iocg"))
+    tables.write_call_graph(edges, str(tmp_path))
+    assert tables.load_call_graph(spark, str(tmp_path)).collect() == edges.collect()
+    edges.drop("dst").write.parquet(str(tmp_path / "bad" / "call_graph"))
     with pytest.raises(ValueError):
-        tables.load_iocg(spark, str(tmp_path / "bad"))
+        tables.load_call_graph(spark, str(tmp_path / "bad"))
 
 
 def test_flow_graphs_and_quotes(spark):
