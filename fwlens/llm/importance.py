@@ -18,7 +18,7 @@ rows; further columns are not read.
 from __future__ import annotations
 
 import functools
-import struct
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ CHUNK_BYTES = 1 << 20
 SPACE, PUNCTUATION, WORD = 0, 1, 2
 MIX, ROOT = 0x9E3779B97F4A7C15, 0x100000001B3
 SEED = 20240613
+BLANK = re.compile(rb"[\x00\x09-\x0d ]+")
 
 
 @functools.cache
@@ -44,16 +45,16 @@ def byte_kinds() -> np.ndarray:
     return kind
 
 
-@functools.lru_cache(4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and their inverses."""
-    one = np.ones(1, np.uint64)
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and their inverses, for the places in a chunk."""
+    one, n = np.ones(1, np.uint64), 1 << 22
     up, down = (np.cumprod(np.concatenate([one, np.full(n, r, np.uint64)])) for r in (ROOT, pow(ROOT, -1, 1 << 64)))
     return up, down
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of all features, number of features of each text)."""
+def features(texts: list[bytes], continued: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of all features, number of features of each text). A continued text begins with the last token of the one it continues, which counts in the pair only."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     kind = byte_kinds()[raw]
@@ -63,7 +64,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin, end = at[:-1], at[1:]
     keep = kind[begin] != SPACE
     begin, end = begin[keep], end[keep]
-    up, down = powers(1 << max(16, int(len(raw)).bit_length()))
+    up, down = powers()
+    if len(raw) > len(up) - 2:  # a single token beyond the chunk: its bytes are taken modulo the table
+        reach = np.arange(len(raw) + 2) % len(up)
+        up, down = up[reach], down[reach]
     mix = np.uint64(MIX)
     with np.errstate(over="ignore"):
         prefix = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
@@ -76,19 +80,54 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         one, two = slot(h), np.where(h[:-1] == h[1:], last, slot(pair))
     both = owner[:-1] == owner[1:]
-    owners = np.concatenate([owner, owner[:-1][both]])
-    slots = np.concatenate([one, two[both]]).astype(np.int64)
+    own = np.ones(len(owner), bool)
+    if continued and any(continued):
+        own[0] = not continued[owner[0]] if len(owner) else True
+        own[1:] = both | ~np.array(continued)[owner[1:]]
+    owners = np.concatenate([owner[own], owner[:-1][both]])
+    slots = np.concatenate([one[own], two[both]]).astype(np.int64)
     order = np.argsort(owners, kind="stable")
     return slots[order], np.bincount(owners, minlength=len(texts))
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    a, held = 0, 0
-    for b, t in enumerate(texts, 1):
-        held += len(t)
-        if held > CHUNK_BYTES or b == len(texts):
-            yield a, texts[a:b]
-            a, held = b, 0
+def last_token(part: bytes) -> bytes:
+    kind = byte_kinds()[np.frombuffer(part, np.uint8)]
+    full = np.flatnonzero(kind != SPACE)
+    if not len(full):
+        return b""
+    end = int(full[-1]) + 1
+    other = np.flatnonzero(kind[:end] != kind[end - 1])
+    return part[int(other[-1]) + 1 if len(other) else 0 : end]
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes, bool]]:
+    """(number of the text, piece, whether it continues): long texts are cut at blanks, and a piece after a cut begins with the last token before it."""
+    for k, text in enumerate(texts):
+        at, before = 0, b""
+        while True:
+            cut = BLANK.search(text, at + CHUNK_BYTES) if len(text) - at > CHUNK_BYTES else None
+            part = text[at : cut.start() if cut else len(text)]
+            yield k, before + b" " + part if before else part, bool(before)
+            if not cut:
+                break
+            before = last_token(part) or before
+            at = cut.end()
+
+
+def chunked(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text of each piece, slots, number of features of each piece), a bounded stretch at a time."""
+    held: list[tuple[int, bytes, bool]] = []
+    size = 0
+    for piece in pieces(texts):
+        held.append(piece)
+        size += len(piece[1])
+        if size > CHUNK_BYTES:
+            owners, parts, more = zip(*held, strict=True)
+            yield np.array(owners), *features(list(parts), list(more))
+            held, size = [], 0
+    if held:
+        owners, parts, more = zip(*held, strict=True)
+        yield np.array(owners), *features(list(parts), list(more))
 
 
 def plain(df: DataFrame, *more: str) -> DataFrame:
@@ -111,10 +150,9 @@ def model_counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
         n = np.zeros((2, 1 << SLOT_BITS), np.int64)
         for batch in batches:
             target = np.array(batch.column("target").to_pylist(), bool)
-            for a, some in chunks(batch.column("text").to_pylist()):
-                slots, counts = features(some)
+            for owners, slots, counts in chunked(batch.column("text").to_pylist()):
                 n[1] += np.bincount(slots, minlength=n.shape[1])
-                mine = np.repeat(target[a : a + len(some)], counts)
+                mine = np.repeat(target[owners], counts)
                 n[0] += np.bincount(slots[mine], minlength=n.shape[1])
         for k in range(2):
             some = np.flatnonzero(n[k])
@@ -143,10 +181,10 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, *, whole: bool = False) ->
             if not batch.num_rows:
                 continue
             n, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for a, some in chunks(batch.column("text").to_pylist()):
-                slots, counts = features(some)
+            for owners, slots, counts in chunked(batch.column("text").to_pylist()):
                 ends = np.concatenate([[0], np.cumsum(shared.value[slots])])[np.concatenate([[0], np.cumsum(counts)])]
-                n[a : a + len(some)], weight[a : a + len(some)] = counts, np.diff(ends)
+                np.add.at(n, owners, counts)
+                np.add.at(weight, owners, np.diff(ends))
             names = ["rec"] * whole + ["doc_id", "n_features", "log_weight"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(n), pa.array(weight)], names=names)
 

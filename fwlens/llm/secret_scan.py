@@ -11,8 +11,10 @@ give a row each; an empty table gives no rows; further columns are not read by t
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Callable
@@ -223,10 +225,11 @@ def scan(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int, int]
     base = [base_spans(t) for t in texts]
     found = []
     for k, text in enumerate(texts):
-        own = base[k]
+        starts = [s for s, _, _ in base[k]]
+        reach = [0, *itertools.accumulate((e for _, _, e in base[k]), max)]  # the furthest end of the first so many spans
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if not any(s < b and a < e for s, _, e in own):
+            if reach[bisect.bisect_left(starts, b)] <= a:
                 found.append((k, a, b, m.group()))
     extra: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if found:

@@ -420,6 +420,16 @@ def test_features_are_tokens_and_pairs():
         at += n
 
 
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    text = ("some words!! and ,, more words words " * 40).encode()
+    whole, (n,) = importance.features([text])
+    monkeypatch.setattr(importance, "CHUNK_BYTES", 50)
+    found = [*importance.chunked([text, b"", b"x y"])]
+    slots = np.concatenate([np.repeat(o, c) * 100000 + s for o, s, c in found])
+    assert sorted(slots[slots < 100000].tolist()) == sorted(whole.tolist()) and n == len(whole)
+    assert (slots >= 200000).sum() == 3 and len(found) > 20
+
+
 def quality_corpus(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
