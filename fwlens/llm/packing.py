@@ -3,8 +3,7 @@
 A configuration says how many pieces of each length share one sequence. The program asks for the fewest configurations
 that cover the histogram. Multiplicative weights solve it: a length's price is its size, discounted the more the better
 the length is covered, and a knapsack dynamic program finds the configuration of highest price, which then takes a share
-of the solution. The solution is rounded down, and what it leaves over is packed by best fit, longest first. Best fit
-over the whole histogram is tried too, and the plan with fewer sequences is kept.
+of the solution. The solution is rounded down, and what it leaves over is packed by best fit, longest first.
 
 The plan's size depends on the capacity only, so it is made on the driver; the pieces, however many, are placed by
 arithmetic from their rank among those of the same length. Ranks come from windows over (length, salt), so a length
@@ -113,7 +112,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     """Configurations and how many sequences follow each; together they hold the histogram exactly."""
     alone = {k: n for k, n in histogram.items() if k == capacity}
     rest = {k: n for k, n in histogram.items() if k < capacity and n}
-    plain, chosen, left = best_fit(rest, capacity), defaultdict(int), dict(rest)
+    chosen, left = defaultdict(int), dict(rest)
     if rest:
         for config, x in configurations(rest, capacity, rounds):
             if (n := int(x + 1e-6)) > 0:
@@ -122,8 +121,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
                     left[k] -= n * m
         for config, n in best_fit({k: n for k, n in left.items() if n}, capacity).items():
             chosen[config] += n
-    if sum(plain.values()) <= sum(chosen.values()):
-        chosen = plain
     return [*(((((k, 1),), n)) for k, n in alone.items()), *sorted(chosen.items())]
 
 
