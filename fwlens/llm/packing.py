@@ -37,6 +37,8 @@ from .common import ids_and_texts, map_arrow, stored, table
 from .library_tokens import encoder_of
 
 CAPACITY = 2048
+#: pieces of one length that one task ranks: this share of all pieces, RANKED at the most
+RANK_SHARE, RANKED = 1 / 512, 1 << 18
 #: tilt of the first prices towards long pieces, how fast coverage lowers a price, and whether full configurations come first
 SETTINGS = ((0.3, 0.3, True), (0.5, 1.0, True), (1.0, 0.3, False))
 CLASSES, STEP, SHARE, TRIES, ACCEPT = 32, 0.02, 0.125, 200, 0.98

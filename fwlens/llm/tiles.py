@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 CAP = 1024
 
 
 def tiled(rows: DataFrame, key: str, member: str, cap: int = CAP) -> DataFrame:
     """Add tile_i, tile_j and chunk to rows, repeating rows of large keys once for each tile they belong to, and bring each tile's rows together in order. rows is read twice."""
-    large = rows.groupBy(F.col(key).alias("large_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+    # stored, so Spark knows its size before it plans the join: a small one is broadcast and the rows are shuffled once
+    large = stored(rows.groupBy(F.col(key).alias("large_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "large")
     chunks = F.ceil(F.col("n") / F.lit(cap // 2)).cast("int")
     joined = rows.join(large, F.col(key) == F.col("large_key"), "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
     dealt = joined.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), member), F.col("chunks")).cast("int"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -115,21 +116,55 @@ def vectors(spark, seed=0):
     return rows, spark.createDataFrame([(*r, "x", 3) for r in rows], "vec_id long, embedding array<double>, label int, rep string, key int")
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
-    import fwlens.llm.tiles as tiles
+def brute_vectors(rows):
+    """One result for each row, rows of equal ids and rows without one included."""
+    sound = {k: np.array(v, float) for k, (_, v, label) in enumerate(rows) if label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    links = [(a, b) for a in sound for b in sound if a < b and rows[a][2] == rows[b][2] and len(sound[a]) == len(sound[b]) and sound[a] @ sound[b] / np.sqrt((sound[a] @ sound[a]) * (sound[b] @ sound[b])) >= 0.93]
+    comp, degree, least = brute_components(range(len(rows)), links), Counter(x for p in links for x in p), {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[comp[k]] = min(i, least.get(comp[k], i))
+    return Counter((i, degree[k], least.get(comp[k]), i is not None and least.get(comp[k]) == i) for k, (i, *_) in enumerate(rows))
 
+
+def test_vectors_against_brute_force(spark):
     rows, df = vectors(spark)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, miss=1e-9).collect()}
-    once = {r[0]: r for r in rows}
-    sound = {i: np.array(v, float) for i, v, label in once.values() if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
-    links = [(a, b) for a in sound for b in sound if a < b and once[a][2] == once[b][2] and len(sound[a]) == len(sound[b]) and sound[a] @ sound[b] / np.sqrt((sound[a] @ sound[a]) * (sound[b] @ sound[b])) >= 0.93]
-    comp = brute_components(sound, links)
-    degree = dict.fromkeys(once, 0)
-    for a, b in links:
-        degree[a] += 1
-        degree[b] += 1
-    want = {i: (degree[i], comp.get(i, i), i is not None and comp.get(i, i) == i) for i in once}
-    assert got == want
+    assert Counter(map(tuple, embeddings.near_vectors(df, miss=1e-9).collect())) == brute_vectors(rows)
+
+
+def test_repeated_and_missing_ids_keep_their_links(spark):
+    rows = [(7, [1.0, 0.0], 0), (7, [0.0, 1.0], None), (8, [1.0, 0.0], 0), (None, [1.0, 0.01], 0), (None, [0.0, 1.0], 0), (9, [0.0, 1.0], 0), (None, [-1.0, 0.0], 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), miss=1e-9).collect()
+    assert Counter(map(tuple, got)) == brute_vectors(rows)
+    assert (7, 2, 7, True) in got and (8, 2, 7, False) in got
+
+
+def test_sketches_and_tables():
+    for n in (10, 10**5, 10**9):
+        bits, tables = embeddings.tables_for(n)
+        chosen = embeddings.masks(bits, tables)
+        assert chosen.shape == (tables, 4) and all(np.bitwise_count(m).sum() == bits for m in chosen)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, (60, 4)).astype(np.uint64)
+    x[30:] = x[:30] ^ (np.uint64(1) << rng.integers(0, 64, (30, 4)).astype(np.uint64))
+    chosen = embeddings.masks(20, 12)
+    met = [{(int(p), int(q)) for p, q in embeddings.near_places(x, t, chosen, 49).T} for t in range(12)]
+    for t in range(12):
+        want = {(a, b) for a in range(60) for b in range(a + 1, 60) if sum(bin(int(u)).count("1") for u in x[a] ^ x[b]) <= 49 and all(((x[a] ^ x[b]) & chosen[k]).any() for k in range(t))}
+        assert met[t] == want
+
+
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows, _ = vectors(spark, 5)
+    once = list({r[0]: r for r in rows if r[0] is not None}.values())
+    df = spark.createDataFrame(once, "vec_id long, embedding array<float>, label int")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings/*.parquet'")
+        want = con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.OP8_SQL})").fetchall()
+    got = embeddings.near_vectors(df, miss=1e-9).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["n_links"] for r in got) > 1000
 
 
 def test_few_links_are_missed(spark):
