@@ -6,10 +6,13 @@ seek table; between seek points one frame follows the other, so streams without
 come as PCM blocks with the sample at which each begins.
 
 The encoder writes mono streams of 8 bits, a seek point for each frame, and takes for each frame the best of three fixed
-predictors, a linear predictor of order four, constant and verbatim.
+predictors, a linear predictor of order eight, constant and verbatim.
+
+``store_texts`` writes the streams of texts to a folder, those of common texts once; ``digests_of_stored`` and
+``stored_media`` read that folder, and ``store_pcm`` decodes streams into a folder of PCM blocks with sample offsets.
 
 Defined results: a null text is the empty text; payloads are padded with blanks to a positive multiple of 192 bytes;
-equal texts give equal streams; a stream that is damaged gives ``ok`` = false and as much as could be read, a null one
+equal texts give equal streams, and which of two copies is stored makes no difference; a stream that is damaged gives ``ok`` = false and as much as could be read, a null one
 gives no blocks; repeated rows give a row each; an empty table gives no rows; further columns are not read.
 """
 
@@ -25,14 +28,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ids_and_texts, map_arrow, table
+from .common import ids_and_texts, map_arrow, scratch_path, stored, table
 
-BLOCK, RATE, UNIT = 1024, 8000, 192
+BLOCK, RATE, UNIT = 2048, 8000, 192
 FRAMES_AT_ONCE = 1024
 # fixed values: the fixed predictors' coefficients by order
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
-LPC_ORDER, LPC_BITS = 4, 12
+LPC_ORDER, LPC_BITS = 8, 12
+#: texts with copies that are stored once, at the most; so the rows that tell which they are fit into a broadcast
+COMMON = 1 << 16
 SEEK_POINT = np.dtype([("sample", ">u8"), ("byte", ">u8"), ("n", ">u2")])
 
 
@@ -139,7 +145,7 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nd
     lpc = coded & (best == 3)
     # columns: header | its CRC | subframe header | warm-up | precision, shift, coefficients | method | parameters and residuals
     head, head_w = np.zeros((count, 12), np.int64), np.zeros((count, 12), np.int64)
-    head[:, :4] = [0xFF, 0xF8, (0xA0 if n == BLOCK else 0x70) | 0x04, 0x02]
+    head[:, :4] = [0xFF, 0xF8, (((BLOCK // 256).bit_length() + 7) << 4 if n == BLOCK else 0x70) | 0x04, 0x02]
     head_w[:, :4] = 8
     head[:, 4:10], head_w[:, 4:10] = coded_number(numbers)
     if n != BLOCK:
@@ -512,28 +518,33 @@ def verified(stream: Stream | None, frames: list[Frame]) -> bool:
 
 
 def payload_of(text: str) -> bytes:
-    raw = text.encode()
+    return padded(text.encode())
+
+
+def padded(raw: bytes) -> bytes:
     return raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored as FLAC: (doc_id, n_bytes, media)."""
+def text_media(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Texts (text, no nulls) as FLAC: the columns to keep (all long), n_bytes and media."""
+    schema = "".join(f"{c} long, " for c in keep) + "n_bytes long, media binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, media = batch.column("text").to_pylist(), []
-        sizes = [len(t.encode()) for t in texts]
-        group, held = [], 0
+        sizes, group, held = [], [], 0
         for t in texts:
-            group.append(payload_of(t))
+            raw = t.encode()
+            sizes.append(len(raw))
+            group.append(padded(raw))
             held += len(group[-1])
             if held > 1 << 20:
                 media += encode_payloads(group)
                 group, held = [], 0
         if group:
             media += encode_payloads(group)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return map_arrow(ids_and_texts(df, id_col, text_col), run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(df.select(*keep, "text"), run, schema)
 
 
 def decoded_batches(batch: pa.RecordBatch, most: int = 1 << 20):
@@ -571,24 +582,73 @@ def describe(raw: bytes, blocks: int) -> str:
     return f"blocks={blocks};rms={math.isqrt(int((x * x).sum()) // len(x))};peak={int(np.abs(x).max())};crossings={crossings}"
 
 
+def store_pcm(media: DataFrame, path: str) -> DataFrame:
+    """Write the PCM blocks of (doc_id, media) below path, and read them back."""
+    pcm_blocks(media).write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
+DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, ok boolean"
+
+
 def media_digests(media: DataFrame) -> DataFrame:
-    """Stored streams of texts, read back, verified and described."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, ok boolean"
+    """Streams of texts, decoded, verified and described; all columns but media are kept."""
+    keep = [c for c in media.columns if c != "media"]
+    names = [*keep, *(x.split()[0] for x in DIGESTS.split(", "))]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in media.schema if f.name != "media") + ", " + DIGESTS
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        docs, sizes, medias = (batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))
+        rows, medias = [], batch.column("media").to_pylist()
         for a, found in decoded_batches(batch):
             for k, (stream, frames) in enumerate(found, a):
                 raw = b"".join(pcm(f, 8) for f in frames)
-                rows.append((docs[k], sizes[k], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(medias[k]), hashlib.sha256(medias[k]).hexdigest(), describe(raw, len(frames)) if raw else "", verified(stream, frames)))
-        names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(medias[k]), hashlib.sha256(medias[k]).hexdigest(), describe(raw, len(frames)) if raw else "", verified(stream, frames)))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+    return map_arrow(media.select(*keep, "media"), run, schema)
+
+
+def store_texts(df: DataFrame, path: str, *, most: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the streams of all texts below path: ``own`` holds a stream a row, ``common`` one for all copies of a common text, ``copies`` the rows that share it.
+
+    Common are texts with two copies or more, and with so many that there can be no more than ``most`` such texts."""
+    texts = ids_and_texts(df, id_col, text_col).withColumns({f"h{k}": F.xxhash64(F.lit(k), "text") for k in (1, 2)})
+    counts = stored(texts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), "counts")
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(counts.where(F.col("n") >= max(2, math.ceil(rows / most))).select("h1", "h2"))
+    shared = texts.join(common, ["h1", "h2"], "left_semi")
+    text_media(texts.join(common, ["h1", "h2"], "left_anti")).write.option("compression", "none").parquet(f"{path}/own")
+    shared.select("doc_id", "h1", "h2").write.parquet(f"{path}/copies")
+    text_media(shared.dropDuplicates(["h1", "h2"]), keep=("h1", "h2")).write.option("compression", "none").parquet(f"{path}/common")
+
+
+OWN = "doc_id long, n_bytes long, media binary"
+SHARED = "h1 long, h2 long, n_bytes long, media binary"
+
+
+def _folders(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    read = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return read(OWN, "own"), read("doc_id long, h1 long, h2 long", "copies"), read(SHARED, "common")
+
+
+def stored_media(spark, path: str) -> DataFrame:
+    """(doc_id, n_bytes, media) of a folder written by ``store_texts``."""
+    own, copies, common = _folders(spark, path)
+    return own.unionByName(copies.join(common, ["h1", "h2"]).select("doc_id", "n_bytes", "media"))
+
 
-    return map_arrow(media, run, schema)
+def digests_of_stored(spark, path: str) -> DataFrame:
+    """The digests of a folder written by ``store_texts``; a common stream is decoded once."""
+    own, copies, common = _folders(spark, path)
+    # at most COMMON rows of a few hundred bytes
+    shared = F.broadcast(media_digests(common))
+    found = media_digests(own)
+    return found.unionByName(copies.join(shared, ["h1", "h2"]).select(found.columns))
 
 
 def op1_flac_media(spark, sf_dir: str) -> DataFrame:
-    """Every text stored as a FLAC stream, read back and described."""
-    return media_digests(text_media(table(spark, sf_dir, "documents")))
+    """Every text stored as a FLAC stream, read back from the shared folder and described; nulls, repeated rows and empty tables as in this module's docstring."""
+    path = scratch_path(spark, "media")
+    store_texts(table(spark, sf_dir, "documents"), path)
+    return digests_of_stored(spark, path)

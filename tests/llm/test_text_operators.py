@@ -122,19 +122,33 @@ def test_flac_features_of_other_encoders(mode):
     assert np.frombuffer(flac.pcm(frames[0], 16), "<i2").tolist() == np.stack([left, right], 1).ravel().tolist()
 
 
-def test_flac_query(odd, none):
-    media = flac.text_media(odd)
-    got = flac.media_digests(media).collect()
+@pytest.mark.parametrize("most", [flac.COMMON, 5])
+def test_flac_query(spark, odd, none, tmp_path, most):
+    longest = "a very long text, longer than a group of payloads; " * 25000
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, longest), (21, longest), (22, longest + "x")], "doc_id long, text string"))
+    flac.store_texts(df, str(tmp_path / "media"), most=most)
+    got = flac.digests_of_stored(spark, str(tmp_path / "media")).collect()
     want = Counter()
-    for i, t in texts_of(odd):
+    for i, t in texts_of(df):
         p = flac.payload_of(t)
         assert len(p) % 192 == 0 and p
         want[i, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
     assert all(r["ok"] for r in got) and len({r["media_sha256"] for r in got if r["doc_id"] in (5, 6)}) == 1
-    blocks = flac.pcm_blocks(media.where("doc_id = 5")).orderBy("first_sample").collect()
-    assert [b["first_sample"] for b in blocks] == [1024 * k for k in range(len(blocks))] and all(b["ok"] for b in blocks)
-    assert flac.media_digests(flac.text_media(none)).count() == 0
+    # any sample of a stored stream by its offset, and PCM blocks written from stored streams
+    media = flac.stored_media(spark, str(tmp_path / "media"))
+    streams = {(r["doc_id"], r["n_bytes"]): r["media"] for r in media.collect()}
+    assert len(streams) == df.distinct().count()
+    for (i, n), m in streams.items():
+        text = dict(texts_of(df))[i].encode()
+        if n:
+            frame = flac.seek(m, n - 1)
+            assert flac.pcm(frame, 8)[n - 1 - frame.first] == text[-1]
+    blocks = flac.store_pcm(media.where("doc_id = 5"), str(tmp_path / "pcm")).orderBy("first_sample").collect()
+    assert [b["first_sample"] for b in blocks] == [flac.BLOCK * k for k in range(len(blocks))] and all(b["ok"] for b in blocks)
+    assert b"".join(b["pcm"] for b in blocks) == flac.payload_of(dict(texts_of(df))[5])
+    flac.store_texts(none, str(tmp_path / "none"))
+    assert flac.digests_of_stored(spark, str(tmp_path / "none")).count() == 0
 
 
 # secrets
