@@ -1,12 +1,18 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
 Each format is learned from its labelled strings as a prefix tree over character classes, whose states are merged while
-their outgoing frequencies agree within the Hoeffding bound. A candidate, a long run of the characters that credentials
-are made of, is scored by all automata: its likelihood under the best credential format against that under the best
-ordinary format. The threshold is what no ordinary string of a held-out set reaches.
-
-Defined results: a null text is the empty text and holds nothing; places are code points, ends exclusive; repeated rows
-give a row each; an empty table gives no rows; further columns are not read by the scan, and kept by ``redacted``.
+their outgoing frequencies agree within the Hoeffding bound. Labelled strings come from two places: formats built by
+rule, and a bounded sample of the corpus (SAMPLE_ROWS documents in expectation, PER_KIND strings of a label), where the
+values of base matches are credentials and other candidates ordinary runs.
+
+Every candidate, a run of eight or more of the characters that credentials are made of, is scored by all automata: its
+likelihood under a credential format against that under the best ordinary format. Each credential format has a threshold
+that no ordinary string of a held-out set reaches. A candidate that passes is a span of kind ``format``, unless it lies
+inside a base span.
+
+Defined results: a null text is the empty text and holds nothing; places are code points, ends exclusive; of formats
+with equal scores the first is named; repeated rows give a row each; an empty table gives no rows; very long texts are
+scanned whole; further columns are not read by the scan, and kept by ``redacted``.
 """
 
 from __future__ import annotations
@@ -17,12 +23,14 @@ import hashlib
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .common import ids_and_texts, map_arrow, table
 
@@ -32,9 +40,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as maximal runs of 32 and more
 KINDS = ("assign", "access", "hex", "format")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 ALPHA, PER_KIND, SEED = 0.05, 200, 20240613
+#: documents whose strings are labelled, in expectation; formats with fewer strings than LEAST are not learned, as their states would all seem to agree
+SAMPLE_ROWS, LEAST = 4000, 20
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -63,18 +73,22 @@ def labelled_strings(per_kind: int = PER_KIND, seed: int = SEED) -> list[tuple[s
         ("prefixed", True, lambda: rng.choice(["ghp_", "gho_", "sk_live_", "pk_test_", "glpat-", "AIza"]) + pick(UPPER + LOWER + DIGITS, number(20, 40))),
         ("dashed", True, lambda: f"xoxb-{pick(DIGITS, 12)}-{pick(DIGITS, 12)}-{pick(UPPER + LOWER + DIGITS, 24)}"),
         ("web_token", True, lambda: ".".join(pick(UPPER + LOWER + DIGITS + "_-", number(20, 40)) for _ in range(3))),
-        ("word", False, lambda: word(7, 20)),
-        ("capital", False, lambda: word(7, 20).capitalize()),
-        ("shout", False, lambda: word(7, 20).upper()),
-        ("camel", False, lambda: "".join(word(1, 3).capitalize() for _ in range(number(4, 7)))),
-        ("number", False, lambda: pick(DIGITS, number(16, 20))),
+        ("word", False, lambda: word(3, 20)),
+        ("capital", False, lambda: word(3, 20).capitalize()),
+        ("shout", False, lambda: word(3, 20).upper()),
+        ("camel", False, lambda: "".join(word(1, 3).capitalize() for _ in range(number(2, 7)))),
+        ("number", False, lambda: pick(DIGITS, number(8, 20))),
         ("domain", False, lambda: f"{word(2, 4)}{number(0, 99)}.{word(2, 4)}.com"),
-        ("path", False, lambda: words("/", 4, 9)),
-        ("snake", False, lambda: words("_", 4, 9)),
-        ("kebab", False, lambda: words("-", 4, 9)),
-        ("sentence", False, lambda: words(".", 4, 9)),
+        ("path", False, lambda: words("/", 2, 9)),
+        ("snake", False, lambda: words("_", 2, 9)),
+        ("kebab", False, lambda: words("-", 2, 9)),
+        ("sentence", False, lambda: words(".", 2, 9)),
         ("date", False, lambda: f"{number(1990, 2030)}-{number(10, 12)}-{number(10, 28)}-{number(10, 23)}-{pick(DIGITS, 6)}"),
-        ("rule", False, lambda: str(rng.choice(["-", "=", "_", ".", "+"])) * number(16, 60)),
+        ("dotted", False, lambda: ".".join(str(number(0, 255)) for _ in range(number(3, 4)))),
+        ("phone", False, lambda: "-".join(pick(DIGITS, number(2, 5)) for _ in range(number(2, 4)))),
+        ("amount", False, lambda: f"{number(1, 10**6)}.{pick(DIGITS, number(2, 4))}"),
+        ("numbered", False, lambda: f"{word(2, 6)}{rng.choice(['', '-', '_', '.'])}{pick(DIGITS, number(1, 4))}"),
+        ("rule", False, lambda: str(rng.choice(["-", "=", "_", ".", "+"])) * number(8, 60)),
     ]
     return [(name, secret, str(make())) for name, secret, make in formats for _ in range(per_kind)]
 
@@ -176,10 +190,11 @@ class Model:
     starts: np.ndarray
     secret: np.ndarray
     names: list[str]
-    threshold: float = 0.0
+    #: by credential format
+    thresholds: np.ndarray | None = None
 
-    def scores(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihood ratio, number of the best credential format) of each string; all strings advance together."""
+    def likelihoods(self, strings: list[str]) -> np.ndarray:
+        """The log-likelihood of each string under each format; all strings advance together."""
         codes = codes_of(strings)
         sizes = np.array([len(c) for c in codes])
         order = np.argsort(-sizes, kind="stable")
@@ -193,51 +208,143 @@ class Model:
             total[:m] += self.logp[state[:m], c]
             state[:m] = self.step[state[:m], c]
         total += self.end[state]
-        ratio, best = np.empty(len(codes)), np.empty(len(codes), np.int64)
-        ratio[order] = total[:, self.secret].max(axis=1) - total[:, ~self.secret].max(axis=1)
-        best[order] = np.flatnonzero(self.secret)[total[:, self.secret].argmax(axis=1)]
-        return ratio, best
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+    def ratios(self, strings: list[str]) -> np.ndarray:
+        """By string and credential format the log-likelihood ratio against the best ordinary format."""
+        found = self.likelihoods(strings)
+        return found[:, self.secret] - found[:, ~self.secret].max(axis=1)[:, None]
+
+    def scores(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(score, number of the format) of each string: how far the ratio is above its format's threshold, for the best format; zero and more are credentials."""
+        above = self.ratios(strings) - self.thresholds
+        best = above.argmax(axis=1)
+        return above[np.arange(len(best)), best], np.flatnonzero(self.secret)[best]
 
 
 def fit(labelled: list[tuple[str, bool, str]], held_out: list[tuple[str, bool, str]], alpha: float = ALPHA) -> Model:
-    """An automaton for each format; the threshold lies above all held-out strings that are no credentials."""
+    """An automaton for each format; the thresholds lie above all held-out strings that are no credentials."""
     parts, starts, names, secret, at = [], [], [], [], 0
     for name, is_secret in dict.fromkeys((n, s) for n, s, _ in labelled):
-        logp, step, end = Automaton([x for n, _, x in labelled if n == name], alpha).arrays()
+        logp, step, end = Automaton([x for n, s, x in labelled if (n, s) == (name, is_secret)], alpha).arrays()
         parts.append((logp, step + at, end))
         starts.append(at)
         at += len(end)
         names.append(name)
         secret.append(is_secret)
     model = Model(*(np.concatenate(x) for x in zip(*parts, strict=True)), np.array(starts), np.array(secret), names)
-    plain, _ = model.scores([x for _, s, x in held_out if not s])
-    model.threshold = max(float(plain.max()) + 1.0, 3.0)
+    model.thresholds = np.maximum(model.ratios([x for _, s, x in held_out if not s]).max(axis=0) + 1.0, 3.0)
     return model
 
 
+@functools.cache
+def rule_strings() -> tuple[list[tuple[str, bool, str]], list[tuple[str, bool, str]]]:
+    return labelled_strings(), labelled_strings(PER_KIND, SEED + 1)
+
+
 @functools.cache
 def default_model() -> Model:
-    return fit(labelled_strings(), labelled_strings(PER_KIND, SEED + 1))
-
-
-def scan(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """For each text its base spans and all its spans. A candidate that overlaps a base span adds nothing."""
-    base = [base_spans(t) for t in texts]
-    found = []
-    for k, text in enumerate(texts):
-        starts = [s for s, _, _ in base[k]]
-        reach = [0, *itertools.accumulate((e for _, _, e in base[k]), max)]  # the furthest end of the first so many spans
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if reach[bisect.bisect_left(starts, b)] <= a:
-                found.append((k, a, b, m.group()))
-    extra: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if found:
-        ratio, _ = model.scores([s for *_, s in found])
-        for (k, a, b, _), r in zip(found, ratio.tolist(), strict=True):
-            if r >= model.threshold:
-                extra[k].append((a, 3, b))
-    return [(b, sorted(b + e)) for b, e in zip(base, extra, strict=True)]
+    """Learned from the strings built by rule alone."""
+    return fit(*rule_strings())
+
+
+VALUES = ("corpus_assign", "corpus_access", "corpus_hex")
+
+
+def corpus_strings(texts: list[str], model: Model) -> list[tuple[str, bool, str]]:
+    """Labelled strings of texts: values of base matches, and the candidates that are neither near a base match nor credentials by the rules."""
+    out: list[tuple[str, bool, str]] = []
+    plain: dict[str, None] = {}
+    for text in texts:
+        spans = base_spans(text)
+        for a, kind, b in spans:
+            value = ASSIGN.match(text, a).group(2) if kind == 0 else text[a:b]
+            if CANDIDATE.fullmatch(value):
+                out.append((VALUES[kind], True, value))
+        reach = Reach(spans)
+        plain.update((m.group(), None) for m in CANDIDATE.finditer(text) if not reach.touches(*m.span()))
+    if plain:
+        score, _ = model.scores(list(plain))
+        out += [("corpus_plain", False, x) for x, s in zip(plain, score.tolist(), strict=True) if s < 0]
+    return out
+
+
+def corpus_labels(df: DataFrame, rows: int = SAMPLE_ROWS, most: int = PER_KIND, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, bool, str, bool]]:
+    """(format, whether a credential, string, whether held out) from a sample of the corpus; at most ``most`` strings of a format on either side."""
+    texts, model = ids_and_texts(df, id_col, text_col), default_model()
+    total = texts.count()
+    share = min(1.0, rows / max(1, total))
+    chosen = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = corpus_strings(batch.column("text").to_pylist(), model)
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.string(), pa.bool_(), pa.string()), strict=True)], names=["format", "secret", "value"])
+
+    found = map_arrow(chosen, run, "format string, secret boolean, value string").distinct()
+    found = found.withColumn("mark", F.xxhash64(F.lit(SEED + 1), "value")).withColumn("held_out", F.pmod("mark", F.lit(2)) == 1)
+    # the sample is bounded, and so is a format's share of it
+    place = F.row_number().over(Window.partitionBy("format", "held_out").orderBy("mark", "value"))
+    return [tuple(r) for r in found.withColumn("place", place).where(F.col("place") <= most).orderBy("format", "held_out", "place").select("format", "secret", "value", "held_out").collect()]
+
+
+def corpus_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learned from the strings built by rule and from labelled strings of the corpus."""
+    own = corpus_labels(df, id_col=id_col, text_col=text_col)
+    train, held = rule_strings()
+    enough = Counter(x[0] for x in own if not x[3])
+    return fit(train + [x[:3] for x in own if not x[3] and enough[x[0]] >= LEAST], held + [x[:3] for x in own if x[3]])
+
+
+class Reach:
+    """Which stretches meet spans, and which lie inside one."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        self.ends = [0, *itertools.accumulate((e for _, _, e in spans), max)]  # the furthest end of the first so many spans
+
+    def touches(self, a: int, b: int) -> bool:
+        return self.ends[bisect.bisect_left(self.starts, b)] > a
+
+    def holds(self, a: int, b: int) -> bool:
+        return self.ends[bisect.bisect_right(self.starts, a)] >= b
+
+
+@dataclass
+class Scan:
+    base: list[tuple[int, int, int]]
+    #: base spans and those of formats
+    spans: list[tuple[int, int, int]]
+    #: (start, end, name of the format, score) of each candidate that passes, inside a base span or not
+    formats: list[tuple[int, int, str, float]]
+    candidates: int = 0
+    best: float | None = None
+
+
+def scan(texts: list[str], model: Model) -> list[Scan]:
+    """For each text its base spans and all its spans, every candidate scored."""
+    found = [Scan(b, list(b), []) for b in map(base_spans, texts)]
+    places = [(k, m.start(), m.end(), m.group()) for k, text in enumerate(texts) for m in CANDIDATE.finditer(text)]
+    unlike = list(dict.fromkeys(p[3] for p in places))
+    score: dict[str, tuple[float, int]] = {}
+    for a in range(0, len(unlike), 8192):
+        some = unlike[a : a + 8192]
+        score.update(zip(some, zip(*(x.tolist() for x in model.scores(some)), strict=True), strict=True))
+    reach = [Reach(x.base) for x in found]
+    for k, a, b, value in places:
+        own, (s, f) = found[k], score[value]
+        own.candidates += 1
+        own.best = s if own.best is None else max(own.best, s)
+        if s >= 0:
+            own.formats.append((a, b, model.names[f], s))
+            if not reach[k].holds(a, b):
+                own.spans.append((a, 3, b))
+    for own in found:
+        own.spans.sort()
+    return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -245,16 +352,18 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secrets(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The secrets of each whole text."""
-    model = model or default_model()
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string"
+    """The secrets of each whole text. n_candidates were scored, best_score is the highest above a format's threshold; formats names the format and score of each candidate that passes, as start:end:format:score."""
+    model = model or corpus_model(df, id_col, text_col)
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string, n_candidates long, best_score double, formats string"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for base, spans in scan(batch.column("text").to_pylist(), model):
-            counts = [sum(k == want for _, k, _ in spans) for want in range(4)]
-            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, pa.string(), pa.string()], strict=True)]
+        for own in scan(batch.column("text").to_pylist(), model):
+            counts = [sum(k == want for _, k, _ in own.spans) for want in range(4)]
+            formats = ",".join(f"{a}:{b}:{name}:{s:.3f}" for a, b, name, s in own.formats)
+            rows.append((*counts, hashlib.sha256(joined(own.base).encode()).hexdigest(), joined(own.spans), own.candidates, own.best, formats))
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()]
+        columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return map_arrow(ids_and_texts(df, id_col, text_col), run, schema)
@@ -271,12 +380,12 @@ def masked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def redacted(df: DataFrame, model: Model | None = None, mark: str = "<secret>", text_col: str = "text") -> DataFrame:
     """df with each stretch of secrets in its texts replaced by mark; a null text stays null."""
-    model, place = model or default_model(), df.columns.index(text_col)
+    model, place = model or corpus_model(df.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))), df.columns.index(text_col)
     schema = df.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(place).to_pylist()
-        new = [t if not spans else masked(t, spans, mark) for t, (_, spans) in zip(texts, scan([t or "" for t in texts], model), strict=True)]
+        new = [masked(t, own.spans, mark) if own.spans else t for t, own in zip(texts, scan([t or "" for t in texts], model), strict=True)]
         columns = list(batch.columns)
         columns[place] = pa.array(new, columns[place].type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
@@ -285,5 +394,5 @@ def redacted(df: DataFrame, model: Model | None = None, mark: str = "<secret>",
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """The secrets of all documents."""
+    """The secrets of all documents; nulls, repeated rows and empty tables as in this module's docstring."""
     return secrets(table(spark, sf_dir, "documents"))
