@@ -54,8 +54,8 @@ def strip_header(code: Column) -> Column:
 
 
 def line_ratios(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, quick, real_quick) of the lines of the texts a and b in each row: the common multiset by counts per line, so no lines are compared in pairs. Null texts have ratio 0."""
-    side = lambda c, n: pairs.select(F.col(key), F.explode(F.split(F.col(c), "\n")).alias("line"), F.lit(n).alias("side"))
+    """(key, quick, real_quick) of the lines of the texts a and b in each row: the common multiset by counts per line, so no lines are compared in pairs. Null and empty texts have no lines, and ratio 0."""
+    side = lambda c, n: pairs.select(F.col(key), F.explode(F.split(F.nullif(F.col(c), F.lit("")), "\n")).alias("line"), F.lit(n).alias("side"))
     lines = side(a, 0).unionByName(side(b, 1))
     each = lines.groupBy(key, "line").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
     whole = each.groupBy(F.col(key).alias("of")).agg(F.sum(F.least("n", "m")).alias("common"), F.sum("n").alias("n"), F.sum("m").alias("m"))

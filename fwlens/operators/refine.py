@@ -2,7 +2,7 @@
 
 Candidates are rows (bin_faddr, library, object_id, lib_faddr, name, similarity, is_guess). Refinement works in
 synchronous rounds: all functions are narrowed with the names of the round before, until a round changes nothing.
-Lists only shrink while callees narrow callers, so the rounds end.
+Lists only shrink while callees narrow callers, and each function names its callees once, so the rounds end.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fwlens.operators.matching import squished
-from fwlens.plans.storage import settled
+from fwlens.plans.storage import Rounds
 
 UNRESOLVABLE, IGNORED = "UnresolvableCallTarget", "Ignored"
 ORDER = ["library", "object_id", "lib_faddr"]
@@ -53,19 +53,21 @@ def allowed_names(candidates: DataFrame, positions: DataFrame, banned: DataFrame
     return outside.unionByName(junk).unionByName(found).distinct(), open_
 
 
-def narrowed_by_callees(candidates: DataFrame, positions: DataFrame, library_calls: DataFrame, banned: DataFrame, inside: DataFrame, most_rounds: int = 50) -> DataFrame:
+def narrowed_by_callees(candidates: DataFrame, positions: DataFrame, library_calls: DataFrame, banned: DataFrame, inside: DataFrame) -> DataFrame:
     """Candidates whose calls fit what their callees may be. positions: (bin_faddr, pos, target); library_calls: (object_id, lib_faddr, pos, callee_name)."""
     key = ["bin_faddr"]
-    current = settled(candidates, "candidates")
-    for _ in range(most_rounds):
+    rounds = Rounds(candidates.sparkSession)
+    current = rounds.settle(candidates, "candidates")
+    while True:
         several = current.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
         allowed, open_ = allowed_names(current, positions, banned, inside)
         narrow = current.join(several, key, "left_semi").join(open_, key, "left_anti")
-        out = settled(ruled_out(narrow, allowed, library_calls, key, ["object_id", "lib_faddr"], [IGNORED]), "ruled-out")
+        out = rounds.settle(ruled_out(narrow, allowed, library_calls, key, ["object_id", "lib_faddr"], [IGNORED]), "ruled-out")
         if not out.limit(1).count():
-            break
-        current = settled(current.join(out, ["bin_faddr", "object_id", "lib_faddr"], "left_anti"), "candidates")
-    return current
+            rounds.drop(out)
+            return current
+        before, current = current, rounds.settle(current.join(out, ["bin_faddr", "object_id", "lib_faddr"], "left_anti"), "candidates")
+        rounds.drop(before, out)
 
 
 def guesses(sure: DataFrame, target_calls: DataFrame, library_calls: DataFrame) -> DataFrame:
@@ -89,20 +91,23 @@ def applied(candidates: DataFrame, guessed: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(candidates.columns))
 
 
-def named_by_callers(candidates: DataFrame, target_calls: DataFrame, library_calls: DataFrame, banned: DataFrame, inside: DataFrame, most_rounds: int = 50) -> DataFrame:
+def named_by_callers(candidates: DataFrame, target_calls: DataFrame, library_calls: DataFrame, banned: DataFrame, inside: DataFrame) -> DataFrame:
     """Callees named by sure callers. A round takes the functions that have become sure since the round before, and never one that was taken, as guesses may overwrite."""
     usable = target_calls.join(inside, "target", "left_semi").join(banned, "target", "left_anti")
-    current, taken = settled(candidates, "candidates"), None
-    for _ in range(most_rounds):
+    rounds = Rounds(candidates.sparkSession)
+    current, taken = rounds.settle(candidates, "candidates"), None
+    while True:
         sure = current.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("bin_faddr"))).where("_n = 1 AND NOT is_guess").select("bin_faddr", "library", "object_id", "lib_faddr")
         if taken is not None:
             sure = sure.join(taken, "bin_faddr", "left_anti")
-        sure = settled(sure, "sure")
+        sure = rounds.settle(sure, "sure")
         if not sure.limit(1).count():
-            break
-        taken = settled(sure.select("bin_faddr") if taken is None else taken.unionByName(sure.select("bin_faddr")), "taken")
-        current = settled(squished(applied(current, guesses(sure, usable, library_calls)), ["bin_faddr"], "name", ORDER), "candidates")
-    return current
+            rounds.drop(sure)
+            return current
+        old = current, taken, sure
+        taken = rounds.settle(sure.select("bin_faddr") if taken is None else taken.unionByName(sure.select("bin_faddr")), "taken")
+        current = rounds.settle(squished(applied(current, guesses(sure, usable, library_calls)), ["bin_faddr"], "name", ORDER), "candidates")
+        rounds.drop(*(x for x in old if x is not None))
 
 
 def without_used_names(candidates: DataFrame, by: str = "bin_faddr", name: str = "name") -> DataFrame:

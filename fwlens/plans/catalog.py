@@ -12,7 +12,6 @@ from fwlens.functions import text as txt
 from fwlens.operators import filters, graph, legacy, matching, refine, scoring
 from fwlens.operators.attributes import counted
 from fwlens.operators.function_diff import mutual_nearest, positional_changes, unmatched
-from fwlens.plans.storage import settled
 from fwlens.sources.binaries import cortex_header, library_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,43 +116,41 @@ def call_site_lists(spark, sf):
     return lists.select("l_orderkey", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"), F.size("targets").cast("long").alias("n"))
 
 
-@query("SELECT c_nationkey AS src, array_to_string(list_sort(list(DISTINCT s_nationkey)), ',') AS successors FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 GROUP BY 1")
+@query("SELECT c_nationkey AS src, array_to_string(list_sort(list(DISTINCT s_nationkey)), ',') AS successors FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def ordered_successors(spark, sf):
     """The distinct successors of each node, by address."""
-    edges = _nation_edges(spark, sf, F.col("l_linenumber") == 1, loops=True)
-    return graph.ordered_successors(edges, []).select("src", F.array_join(F.transform("successors", lambda x: x.cast("string")), ",").alias("successors"))
-
-
-def _nation_edges(spark, sf, condition, loops=False) -> DataFrame:
     customers, orders, lines, suppliers = read(spark, sf, "customer", "orders", "lineitem", "supplier")
-    at = lines.where(condition).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = at.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    return edges if loops else edges.where("src <> dst")
+    at = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = at.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
+    return graph.ordered_successors(edges, []).select("src", F.array_join(F.transform("successors", lambda x: x.cast("string")), ",").alias("successors"))
 
 
-NATION_GRAPH = """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
-WHERE l_orderkey < 100 AND l_linenumber = 1 AND c_nationkey <> s_nationkey), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+USER_GRAPHS = """WITH RECURSIVE s AS (SELECT user_id, event_type, row_number() OVER w AS k, lead(event_type) OVER w AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT DISTINCT user_id, event_type AS node FROM s), e AS (SELECT DISTINCT user_id, event_type AS src, dst FROM s WHERE dst <> event_type AND k % 4 = 1),
 """
 
 
-def _nation_graph(spark, sf):
-    edges = settled(_nation_edges(spark, sf, (F.col("l_orderkey") < 100) & (F.col("l_linenumber") == 1)), "edges")
-    return edges, edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+def _user_graphs(spark, sf):
+    """A graph for each user: event types, and every fourth step between unlike ones. (nodes, edges, the first node)."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = read(spark, sf, "events").select("user_id", F.col("event_type").alias("src"), F.row_number().over(order).alias("k"), F.lead("event_type").over(order).alias("dst"))
+    edges = steps.where("dst <> src AND k % 4 = 1").select("user_id", "src", "dst").distinct()
+    return steps.select("user_id", F.col("src").alias("node")).distinct(), edges, steps.where("k = 1").select("user_id", F.col("src").alias("node"))
 
 
-@query(NATION_GRAPH + "r AS (SELECT min(src) AS node, 0 AS dist FROM e UNION SELECT dst, dist + 1 FROM r JOIN e ON src = node WHERE dist < 25) SELECT n.node, coalesce(min(dist), 10000) AS dist FROM n LEFT JOIN r USING (node) GROUP BY 1")
+@query(USER_GRAPHS + "r AS (SELECT user_id, event_type AS node, 0 AS dist FROM s WHERE k = 1 UNION SELECT user_id, dst, dist + 1 FROM r JOIN e USING (user_id) WHERE src = node AND dist < 25) SELECT n.user_id, n.node, coalesce(min(dist), 10000) AS dist FROM n LEFT JOIN r USING (user_id, node) GROUP BY ALL")
 def bfs_entry(spark, sf):
-    """Hops from the entry, 10000 where it does not lead."""
-    edges, nodes = _nation_graph(spark, sf)
-    return graph.distances(nodes, edges.agg(F.min("src").alias("node")), edges, [])
+    """In each graph the hops from the entry, 10000 where it does not lead."""
+    nodes, edges, first = _user_graphs(spark, sf)
+    return graph.distances(nodes, first, edges, ["user_id"])
 
 
-@query(NATION_GRAPH + """x AS (SELECT node FROM n WHERE node NOT IN (SELECT src FROM e)), s AS (SELECT node FROM x UNION SELECT max(node) FROM n WHERE NOT EXISTS (SELECT 1 FROM x) HAVING count(*) > 0),
-r AS (SELECT node, 0 AS dist FROM s UNION SELECT src, dist + 1 FROM r JOIN e ON dst = node WHERE dist < 25) SELECT n.node, coalesce(min(dist), 10000) AS dist FROM n LEFT JOIN r USING (node) GROUP BY 1""")
+@query(USER_GRAPHS + """x AS (SELECT n.user_id, node FROM n ANTI JOIN e ON e.user_id = n.user_id AND src = node), z AS (SELECT * FROM x UNION SELECT user_id, max(node) FROM n ANTI JOIN x USING (user_id) GROUP BY 1),
+r AS (SELECT user_id, node, 0 AS dist FROM z UNION SELECT user_id, src, dist + 1 FROM r JOIN e USING (user_id) WHERE dst = node AND dist < 25) SELECT n.user_id, n.node, coalesce(min(dist), 10000) AS dist FROM n LEFT JOIN r USING (user_id, node) GROUP BY ALL""")
 def bfs_exit(spark, sf):
-    """Hops to the nearest exit, or to the last node where there is none."""
-    edges, nodes = _nation_graph(spark, sf)
-    return graph.distances(nodes, graph.exits(nodes, edges, []), graph.reverse(edges, []), [])
+    """In each graph the hops to the nearest exit, or to the last node where there is none."""
+    nodes, edges, _ = _user_graphs(spark, sf)
+    return graph.distances(nodes, graph.exits(nodes, edges, ["user_id"]), graph.reverse(edges, ["user_id"]), ["user_id"])
 
 
 @query("""WITH stub AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0), strong AS (SELECT p_name, min(p_partkey) AS f FROM part WHERE p_partkey % 3 = 1 GROUP BY 1)
@@ -181,13 +178,15 @@ def export_collisions(spark, sf):
 ATTRIBUTES_SQL = "a AS (SELECT o_custkey AS id, count(*) AS n_blocks, count(DISTINCT o_orderstatus) AS n_edges, count(DISTINCT o_orderpriority) AS n_calls FROM orders GROUP BY 1)"
 
 
-@query(f"WITH {ATTRIBUTES_SQL} SELECT t.id AS bin_faddr, l.id AS lib_faddr FROM a t JOIN a l USING (n_blocks, n_edges, n_calls) WHERE t.id % 50 = 0 AND l.id % 50 <> 0")
+@query(f"WITH {ATTRIBUTES_SQL} SELECT t.id AS bin_faddr, l.id AS lib_faddr FROM a t JOIN a l USING (n_blocks, n_edges, n_calls) JOIN customer x ON x.c_custkey = t.id JOIN customer y ON y.c_custkey = l.id WHERE x.c_mktsegment = 'BUILDING' AND x.c_nationkey = 7 AND NOT (y.c_mktsegment = 'BUILDING' AND y.c_nationkey = 7)")
 def first_order_match(spark, sf):
     """Target and library functions with equal attribute tuples."""
     orders = read(spark, sf, "orders")
     a = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_distinct("o_orderstatus").alias("n_edges"), F.count_distinct("o_orderpriority").alias("n_calls"))
-    target = a.where("o_custkey % 50 = 0").withColumnRenamed("o_custkey", "bin_faddr")
-    library = a.where("o_custkey % 50 <> 0").withColumnRenamed("o_custkey", "lib_faddr")
+    image = F.col("c_mktsegment").eqNullSafe("BUILDING") & F.col("c_nationkey").eqNullSafe(7)
+    at = a.join(read(spark, sf, "customer").select("c_custkey", image.alias("in_image")), F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+    target = at.where("in_image").drop("in_image").withColumnRenamed("o_custkey", "bin_faddr")
+    library = at.where("NOT in_image").drop("in_image").withColumnRenamed("o_custkey", "lib_faddr")
     return matching.first_order(library, target, matching.ATTRIBUTES).select("bin_faddr", "lib_faddr")
 
 
@@ -198,13 +197,13 @@ def best_with_ties(spark, sf):
     return matching.best_with_ties(lines, ["l_partkey"], "l_quantity")
 
 
-@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1),
-x AS (SELECT a, b, rank() OVER (PARTITION BY a ORDER BY d) AS ra, rank() OVER (PARTITION BY b ORDER BY d) AS rb FROM p) SELECT a, b FROM x WHERE ra = 1 AND rb = 1""")
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, a.label AS g FROM embeddings a JOIN embeddings b ON b.label = a.label + 1),
+x AS (SELECT g, a, b, rank() OVER (PARTITION BY a ORDER BY d) AS ra, rank() OVER (PARTITION BY b ORDER BY d) AS rb FROM p) SELECT g, a, b FROM x WHERE ra = 1 AND rb = 1""")
 def mutual_nearest_vectors(spark, sf):
-    """Vectors of two labels that are each the other's only nearest."""
+    """Vectors of neighbouring labels that are each the other's only nearest."""
     v = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    side = lambda n, c: v.where(F.col("label") == n).select(F.lit(0).alias("g"), F.col("vec_id").alias(c), F.col("v").alias(f"v{c}"))
-    return mutual_nearest(side(0, "a"), side(1, "b"), ["g"], seq.euclidean).select("a", "b")
+    side = lambda n, c: v.select((F.col("label") - n).alias("g"), F.col("vec_id").alias(c), F.col("v").alias(f"v{c}"))
+    return mutual_nearest(side(0, "a"), side(1, "b"), ["g"], seq.euclidean).select("g", "a", "b")
 
 
 SMALL_VECTORS = """v AS (SELECT n_nationkey AS id, n_regionkey % 2 AS side, [(SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) % 7, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) % 5, n_regionkey % 3] AS v FROM nation),
@@ -336,12 +335,12 @@ def callee_narrow(spark, sf):
     return filters.without(candidates, refine.ruled_out(candidates, allowed, calls, ["f"], ["cand"]), ["f", "cand"])
 
 
-CANDIDATES_SQL = "c AS (SELECT DISTINCT l_orderkey AS f, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2)"
+CANDIDATES_SQL = "c AS (SELECT DISTINCT l_orderkey AS f, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 def _named_candidates(spark, sf) -> DataFrame:
     lines, parts = read(spark, sf, "lineitem", "part")
-    return lines.where("l_linenumber <= 2").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("f"), F.col("p_name").alias("name")).distinct()
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("f"), F.col("p_name").alias("name")).distinct()
 
 
 @query("WITH " + CANDIDATES_SQL + """, g AS (SELECT o_orderkey AS f, 'Part#' || o_custkey % 7 AS guessed FROM orders WHERE o_orderkey % 3 = 0), fits AS (SELECT DISTINCT f FROM c JOIN g USING (f) WHERE name = guessed)
@@ -362,11 +361,11 @@ def dedup_names(spark, sf):
     return refine.without_used_names(c, "f")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS f, l_linestatus AS name, l_suppkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 25), m AS (SELECT *, min(name) OVER w = max(name) OVER w AS one, row_number() OVER (PARTITION BY f ORDER BY l_suppkey, l_partkey, l_linenumber) AS k FROM c WINDOW w AS (PARTITION BY f))
+@query("""WITH c AS (SELECT l_orderkey AS f, l_linestatus AS name, l_suppkey, l_partkey, l_linenumber FROM lineitem), m AS (SELECT *, min(name) OVER w = max(name) OVER w AS one, row_number() OVER (PARTITION BY f ORDER BY l_suppkey, l_partkey, l_linenumber) AS k FROM c WINDOW w AS (PARTITION BY f))
 SELECT f, name, l_suppkey, l_partkey, l_linenumber FROM m WHERE NOT one OR k = 1""")
 def smoosh(spark, sf):
     """Groups that carry one name keep their first row."""
-    c = read(spark, sf, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("f"), F.col("l_linestatus").alias("name"), "l_suppkey", "l_partkey", "l_linenumber")
+    c = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("f"), F.col("l_linestatus").alias("name"), "l_suppkey", "l_partkey", "l_linenumber")
     return matching.squished(c, ["f"], "name", ["l_suppkey", "l_partkey", "l_linenumber"])
 
 
@@ -376,7 +375,7 @@ def smoosh(spark, sf):
 def _scored(spark, sf):
     orders, lines = read(spark, sf, "orders", "lineitem")
     name = lambda x: F.concat(F.lit("f"), (x % 11).cast("string"))
-    candidates = lines.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("addr"), name(F.col("l_partkey")).alias("name"), (F.col("l_partkey") % 4 == 0).alias("is_guess")).distinct()
+    candidates = lines.select(F.col("l_orderkey").alias("addr"), name(F.col("l_partkey")).alias("name"), (F.col("l_partkey") % 4 == 0).alias("is_guess")).distinct()
     symbols = orders.select(F.col("o_orderkey").alias("addr"), name(F.col("o_custkey")).alias("symbol"))
     known = lines.where("l_partkey % 11 < 8").select(name(F.col("l_partkey")).alias("name")).distinct()
     viable = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("addr"))
@@ -384,7 +383,7 @@ def _scored(spark, sf):
     return candidates, symbols, known, viable, banned
 
 
-SCORED = """c AS (SELECT DISTINCT l_orderkey AS addr, 'f' || l_partkey % 11 AS name, l_partkey % 4 = 0 AS is_guess FROM lineitem WHERE l_linenumber <= 2), e AS (SELECT addr, count(*) AS n, min(name) AS name, bool_or(is_guess) AS is_guess FROM c GROUP BY 1),
+SCORED = """c AS (SELECT DISTINCT l_orderkey AS addr, 'f' || l_partkey % 11 AS name, l_partkey % 4 = 0 AS is_guess FROM lineitem), e AS (SELECT addr, count(*) AS n, min(name) AS name, bool_or(is_guess) AS is_guess FROM c GROUP BY 1),
 s AS (SELECT o_orderkey AS addr, 'f' || o_custkey % 11 AS symbol, o_orderstatus FROM orders), k AS (SELECT DISTINCT 'f' || l_partkey % 11 AS name FROM lineitem WHERE l_partkey % 11 < 8)"""
 
 
@@ -444,14 +443,14 @@ def legacy_library_stats(spark, sf):
     return legacy.library_statistics(matched, a, b, none, ["nation"]).withColumn("rate", F.round("rate", 9))
 
 
-@query("""WITH k AS (SELECT p_partkey AS faddr, o_orderkey AS addr FROM part JOIN (SELECT DISTINCT 'x' || o_custkey % 50 AS name, o_orderkey FROM orders WHERE o_orderkey < 500) ON name = 'x' || p_partkey % 90), r AS (SELECT DISTINCT k.faddr FROM k JOIN lineitem ON l_partkey = k.faddr AND l_orderkey = addr)
+@query("""WITH k AS (SELECT p_partkey AS faddr, o_orderkey AS addr FROM part JOIN (SELECT 'x' || o_custkey AS name, o_orderkey FROM orders) ON name = 'x' || p_partkey % 997), r AS (SELECT DISTINCT k.faddr FROM k JOIN lineitem ON l_partkey = k.faddr AND l_orderkey = addr)
 SELECT (SELECT count(DISTINCT faddr) FROM k) AS possible, (SELECT count(*) FROM r) AS correct""")
 def harness_accuracy(spark, sf):
     """Library functions whose name the binary has, and those whose true address is among their matches."""
     parts, orders, lines = read(spark, sf, "part", "orders", "lineitem")
     name = lambda x: F.concat(F.lit("x"), x.cast("string"))
-    library = parts.select(F.col("p_partkey").alias("faddr"), name(F.col("p_partkey") % 90).alias("name"))
-    truth = orders.where("o_orderkey < 500").select(name(F.col("o_custkey") % 50).alias("name"), F.col("o_orderkey").alias("addr"))
+    library = parts.select(F.col("p_partkey").alias("faddr"), name(F.col("p_partkey") % 997).alias("name"))
+    truth = orders.select(name(F.col("o_custkey")).alias("name"), F.col("o_orderkey").alias("addr"))
     return legacy.harness_accuracy(library, truth, lines.select(F.col("l_partkey").alias("faddr"), F.col("l_orderkey").alias("addr")))
 
 
@@ -505,8 +504,9 @@ def asm_normalise(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", txt.normalise_assembly(line).alias("line"))
 
 
-@query(f"WITH {DOC_PAIRS}" + """, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 1 AS n, 0 AS m FROM p WHERE other IS NOT NULL UNION ALL SELECT doc_id, unnest(string_split(other, chr(10))), 0, 1 FROM p WHERE other IS NOT NULL),
-e AS (SELECT doc_id, line, sum(n) AS n, sum(m) AS m FROM l GROUP BY ALL) SELECT doc_id, round(2.0 * sum(least(n, m)) / (sum(n) + sum(m)), 9)::DOUBLE AS quick, round(2.0 * least(sum(n), sum(m)) / (sum(n) + sum(m)), 9)::DOUBLE AS real_quick FROM e GROUP BY 1""")
+@query(f"WITH {DOC_PAIRS}" + """, l AS (SELECT doc_id, unnest(string_split(nullif(text, ''), chr(10))) AS line, 1 AS n, 0 AS m FROM p WHERE other IS NOT NULL UNION ALL SELECT doc_id, unnest(string_split(nullif(other, ''), chr(10))), 0, 1 FROM p WHERE other IS NOT NULL),
+e AS (SELECT doc_id, line, sum(n) AS n, sum(m) AS m FROM l GROUP BY ALL), r AS (SELECT doc_id, round(2.0 * sum(least(n, m)) / (sum(n) + sum(m)), 9)::DOUBLE AS quick, round(2.0 * least(sum(n), sum(m)) / (sum(n) + sum(m)), 9)::DOUBLE AS real_quick FROM e GROUP BY 1)
+SELECT doc_id, coalesce(quick, 0) AS quick, coalesce(real_quick, 0) AS real_quick FROM p LEFT JOIN r USING (doc_id) WHERE other IS NOT NULL""")
 def line_quick_ratio(spark, sf):
     """T5: upper bounds of the similarity of two texts by their lines."""
     return txt.line_ratios(_document_pairs(spark, sf), "doc_id", "text", "other").select("doc_id", F.round("quick", 9).alias("quick"), F.round("real_quick", 9).alias("real_quick"))

@@ -257,8 +257,8 @@ def test_text(spark):
     assert value(spark, txt.ast_ratio(array("a", "b", kind="string"), array("a", "c", kind="string"))) == 0.5
     a, b = (value(spark, txt.part_hashes(F.lit(x))) for x in ("x = sub_1(v1);\ny", "y\nx = sub_2(v9);"))
     assert a[0] != b[0] and a[1] != b[1] and a[2] == b[2]
-    pairs = spark.createDataFrame([(1, "a\nb", "b\nc"), (2, None, "x"), (3, "a", "a")], "k int, x string, y string")
-    assert {r["k"]: (r["quick"], r["real_quick"]) for r in txt.line_ratios(pairs, "k", "x", "y").collect()} == {1: (0.5, 1.0), 2: (0.0, 0.0), 3: (1.0, 1.0)}
+    pairs = spark.createDataFrame([(1, "a\nb", "b\nc"), (2, None, "x"), (3, "a", "a"), (4, "", ""), (5, "", "x\n\ny")], "k int, x string, y string")
+    assert {r["k"]: (r["quick"], r["real_quick"]) for r in txt.line_ratios(pairs, "k", "x", "y").collect()} == {1: (0.5, 1.0), 2: (0.0, 0.0), 3: (1.0, 1.0), 4: (0.0, 0.0), 5: (0.0, 0.0)}
 
 
 def test_headers_and_files(spark, tmp_path):
