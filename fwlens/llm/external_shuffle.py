@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, stored, table
 
 ROW_OVERHEAD = 16
 
@@ -42,9 +42,8 @@ def shuffle_to_shards(df: DataFrame, *, shards: int = 40, seed: int = 20240613,
     # a row for each bucket, however many records there are
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    if buckets <= 1 << 18:
-        starts = F.broadcast(starts)
+    # stored, so Spark knows its size when it plans the join
+    starts = stored(counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
     shuffled = (
         scattered.repartitionById(buckets, F.col("bucket"))
         .sortWithinPartitions("bucket", "key", F.col(f"rec.{id_col}"))

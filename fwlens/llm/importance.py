@@ -46,9 +46,9 @@ def byte_kinds() -> np.ndarray:
 
 
 @functools.cache
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and their inverses, for the places in a chunk."""
-    one, n = np.ones(1, np.uint64), 1 << 22
+def powers(n: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and their inverses, for the places in a chunk of n bytes."""
+    one = np.ones(1, np.uint64)
     up, down = (np.cumprod(np.concatenate([one, np.full(n, r, np.uint64)])) for r in (ROOT, pow(ROOT, -1, 1 << 64)))
     return up, down
 
@@ -65,9 +65,8 @@ def features(texts: list[bytes], continued: list[bool] | None = None) -> tuple[n
     keep = kind[begin] != SPACE
     begin, end = begin[keep], end[keep]
     up, down = powers()
-    if len(raw) > len(up) - 2:  # a single token beyond the chunk: its bytes are taken modulo the table
-        reach = np.arange(len(raw) + 2) % len(up)
-        up, down = up[reach], down[reach]
+    if len(raw) > len(up) - 2:  # a single token beyond the chunk
+        up, down = powers.__wrapped__(len(raw) + 2)
     mix = np.uint64(MIX)
     with np.errstate(over="ignore"):
         prefix = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])

@@ -251,6 +251,7 @@ def default_model(docs: DataFrame) -> Model:
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the folds that are not held out; nulls, repeated rows and empty tables as in this module's docstring."""
     docs = table(spark, sf_dir, "documents")
     found = languages(docs, default_model(docs), spans=False)
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -5,7 +5,7 @@ A file is a Parquet part of pages. A page holds the ids of whole documents, one
 that need more than 60 bits are escapes: a word with selector 0, then the id as a word of its own. The last word of a
 block may be padded with zeros.
 
-Defined results: documents stand in ascending order of id (null first; equal ids by text); a null text is the empty
+Defined results: documents stand in ascending order of id (null first; equal ids by a hash of the text); a null text is the empty
 text, which still has its end id; repeated rows are all kept; an empty table gives no pages; further columns of the
 input are not read.
 """
@@ -169,7 +169,9 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0,
         if held_docs:
             yield close()
 
-    ordered = ids_and_texts(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits an id that many rows share; equal rows alone stay together
+    rows = ids_and_texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
     ordered.mapInArrow(pages, PAGES).write.parquet(path)
 
 
