@@ -23,13 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return settled(df, name)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """Map every Arrow batch of df with fn; None yields nothing."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int | None = None) -> DataFrame:
+    """Map every Arrow batch of df with fn, in slices of so many rows if given; None yields nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for k in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                if (out := fn(batch.slice(k, rows) if rows else batch)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,8 @@ KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 ALPHA, PER_KIND, SEED = 0.05, 200, 20240613
+#: characters that are scanned together, and scores that are remembered at the most
+CHUNK, KNOWN = 1 << 20, 1 << 16
 #: documents whose strings are labelled, in expectation; formats with fewer strings than LEAST are not learned, as their states would all seem to agree
 SAMPLE_ROWS, LEAST = 4000, 20
 
@@ -324,25 +326,36 @@ class Scan:
     best: float | None = None
 
 
-def scan(texts: list[str], model: Model) -> list[Scan]:
-    """For each text its base spans and all its spans, every candidate scored."""
+def scan(texts: list[str], model: Model) -> Iterator[Scan]:
+    """For each text its base spans and all its spans, every candidate scored. Texts are taken CHUNK characters at a time, and a score is remembered for the strings met lately."""
+    known: dict[str, tuple[float, int]] = {}
+    begin, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text) + 1
+        if held >= CHUNK or end == len(texts):
+            yield from _scan(texts[begin:end], model, known)
+            begin, held = end, 0
+            if len(known) > KNOWN:
+                known.clear()
+
+
+def _scan(texts: list[str], model: Model, known: dict[str, tuple[float, int]]) -> list[Scan]:
     found = [Scan(b, list(b), []) for b in map(base_spans, texts)]
-    places = [(k, m.start(), m.end(), m.group()) for k, text in enumerate(texts) for m in CANDIDATE.finditer(text)]
-    unlike = list(dict.fromkeys(p[3] for p in places))
-    score: dict[str, tuple[float, int]] = {}
-    for a in range(0, len(unlike), 8192):
-        some = unlike[a : a + 8192]
-        score.update(zip(some, zip(*(x.tolist() for x in model.scores(some)), strict=True), strict=True))
-    reach = [Reach(x.base) for x in found]
-    for k, a, b, value in places:
-        own, (s, f) = found[k], score[value]
-        own.candidates += 1
-        own.best = s if own.best is None else max(own.best, s)
-        if s >= 0:
-            own.formats.append((a, b, model.names[f], s))
-            if not reach[k].holds(a, b):
-                own.spans.append((a, 3, b))
-    for own in found:
+    places = [[(m.start(), m.end(), m.group()) for m in CANDIDATE.finditer(text)] for text in texts]
+    unlike = [x for x in dict.fromkeys(p[2] for own in places for p in own) if x not in known]
+    for a in range(0, len(unlike), 4096):
+        some = unlike[a : a + 4096]
+        known.update(zip(some, zip(*(x.tolist() for x in model.scores(some)), strict=True), strict=True))
+    for own, here in zip(found, places, strict=True):
+        reach = Reach(own.base)
+        for a, b, value in here:
+            s, f = known[value]
+            own.candidates += 1
+            own.best = s if own.best is None else max(own.best, s)
+            if s >= 0:
+                own.formats.append((a, b, model.names[f], s))
+                if not reach.holds(a, b):
+                    own.spans.append((a, 3, b))
         own.spans.sort()
     return found
 
