@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return settled(df, name)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers are used again by later stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int | None = None) -> DataFrame:
     """Map every Arrow batch of df with fn, in slices of so many rows if given; None yields nothing."""
 
@@ -31,6 +39,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             for k in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
                 if (out := fn(batch.slice(k, rows) if rows else batch)) is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

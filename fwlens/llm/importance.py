@@ -46,7 +46,7 @@ def byte_kinds() -> np.ndarray:
 
 
 @functools.cache
-def powers(n: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and their inverses, for the places in a chunk of n bytes."""
     one = np.ones(1, np.uint64)
     up, down = (np.cumprod(np.concatenate([one, np.full(n, r, np.uint64)])) for r in (ROOT, pow(ROOT, -1, 1 << 64)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 
 CAP = 1024
 
@@ -56,6 +56,7 @@ def map_tiles(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarra
             ready, _, begins = whole(pa.Table.from_batches(held), True)
             if (out := fn(ready.combine_chunks().to_batches()[0], begins)) is not None:
                 yield out
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
