@@ -229,7 +229,7 @@ c{k + 1} AS (SELECT * FROM c{k} ANTI JOIN x{k} USING (f, cand))"""
 
 @query(f"WITH {NARROW}, {', '.join(_narrow_round(k) for k in range(ROUNDS))} SELECT f, cand FROM c{ROUNDS}")
 def callee_fixpoint(spark, sf):
-    """M2, M3: the loop of refinement by callees, to its fixpoint. The SQL unrolls more rounds than these tables need."""
+    """M2, M3: the loop of refinement by callees, to its fixpoint. The SQL unrolls ROUNDS rounds: sf0.01 needs no more, sf0.1 needs seven, so there the SQL keeps three rows that the loop rules out."""
     lines, orders, suppliers = read(spark, sf, "lineitem", "orders", "supplier")
     name = lambda x: F.concat(F.lit("p"), (x % 7).cast("string"))
     candidates = lines.select(F.col("l_orderkey").alias("bin_faddr"), F.lit("one").alias("library"), F.lit("one").alias("object_id"), F.col("l_suppkey").alias("lib_faddr"), name(F.col("l_suppkey")).alias("name"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("is_guess")).distinct()
