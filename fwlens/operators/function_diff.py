@@ -263,7 +263,7 @@ def packed_functions(tables, only: DataFrame | None = None) -> DataFrame:
     regions = tables.regions.groupBy("object_id").agg(F.collect_list(F.struct("kind", "min_addr", "max_addr")).alias("regions"))
     spans = tables.objects.select("object_id", F.struct("min_addr", "max_addr").alias("span"))
     own = cut(tables.functions).select(*keys, "startpoint")
-    rows = own.join(blocks, keys, "left").join(edges, keys, "left").join(regions, "object_id", "left").join(spans, "object_id", "left")
+    rows = own.join(blocks, keys, "left").join(edges, keys, "left").join(F.broadcast(regions), "object_id", "left").join(F.broadcast(spans), "object_id", "left")
     return rows.select(*keys, F.struct("startpoint", "blocks", "edges", "regions", "span").alias("body"))
 
 

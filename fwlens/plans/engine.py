@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from fwlens.operators.attributes import function_attributes
 from fwlens.operators.filters import banned_functions, counted_edges, inside_regions, loaded_regions, symbol_names, viable_symbols, without
-from fwlens.operators.function_diff import compared, packed_functions
+from fwlens.operators.function_diff import packed_functions
 from fwlens.operators.graph import contracted_graph
+from fwlens.operators.group_diff import identical_pairs
 from fwlens.operators.matching import ATTRIBUTES, best_with_ties, first_order, shape_signatures, squished
 from fwlens.operators.refine import ORDER, call_positions, named_by_callers, narrowed_by_callees, without_used_names
 from fwlens.operators.sequential import refined as in_order
@@ -78,17 +80,26 @@ class Matches:
     def __init__(self, engine: Engine, target: Described):
         self.engine, self.target = engine, target
         lib, on = engine.library, [*ATTRIBUTES, "shape"]
-        viable = without(lib.attributes, lib.banned, ["object_id", "faddr"]).withColumnRenamed("faddr", "lib_faddr")
-        own = target.attributes.select(F.col("object_id").alias("bin_object"), F.col("faddr").alias("bin_faddr"), *on)
-        self.first = settled(first_order(viable, own, on).select("bin_object", "bin_faddr", "object_id", "lib_faddr"), "first-order")
+        group = F.concat_ws(":", *on).alias("group")
+        viable = without(lib.attributes, lib.banned, ["object_id", "faddr"]).select("object_id", "faddr", group)
+        own = target.attributes.select("object_id", "faddr", group)
+        #: (object_id, faddr, group) of the target's and the library's functions that have a partner; partners have one group
+        self.own = settled(own.join(viable.select("group").distinct(), "group", "left_semi"), "own")
+        self.others = settled(viable.join(self.own.select("group").distinct(), "group", "left_semi"), "others")
+
+    @functools.cached_property
+    def first(self) -> DataFrame:
+        """First-order pairs."""
+        own = self.own.select(F.col("object_id").alias("bin_object"), F.col("faddr").alias("bin_faddr"), "group")
+        pairs = first_order(self.others.withColumnRenamed("faddr", "lib_faddr"), own, ["group"])
+        return settled(pairs.select("bin_object", "bin_faddr", "object_id", "lib_faddr"), "first-order")
 
     def second(self) -> DataFrame:
         """First-order pairs that are probably identical, with their similarity."""
-        wanted = lambda o, f: self.first.select(F.col(o).alias("object_id"), F.col(f).alias("faddr")).distinct()
-        options = self.engine.options
-        own = packed_functions(self.target.tables, wanted("bin_object", "bin_faddr"))
-        others = packed_functions(self.engine.library.tables, wanted("object_id", "lib_faddr"))
-        return compared(self.first, own, others, check_hooks=options.check_hooks, resolve_constants=options.resolve_constants).where("identical")
+        keys, options = ["object_id", "faddr"], self.engine.options
+        own = packed_functions(self.target.tables, self.own).join(self.own, keys)
+        others = packed_functions(self.engine.library.tables, self.others).join(self.others, keys)
+        return identical_pairs(own, others, check_hooks=options.check_hooks, resolve_constants=options.resolve_constants)
 
     def plain(self) -> DataFrame:
         """For each target function its best candidates, all of the highest score."""

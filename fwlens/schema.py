@@ -51,7 +51,8 @@ class Tables:
     def of(self, role: str) -> Tables:
         """The rows of objects in one role, ``lib`` or ``target``."""
         ids = self.objects.where(F.col("role") == role).select(F.col("object_id").alias("role_id"))
-        cut = lambda df: df.join(ids, F.col("object_id") == F.col("role_id"), "left_semi")
+        # objects are few beside their rows; a shuffle by object would leave an object's rows to one task
+        cut = lambda df: df.join(F.broadcast(ids), F.col("object_id") == F.col("role_id"), "left_semi")
         return Tables(**{f.name: cut(getattr(self, f.name)) for f in fields(self)})
 
     def union(self, other: Tables) -> Tables:
