@@ -17,11 +17,14 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 # fixed values: the code points with the property White_Space
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK_CHARS = 2_000_000
+#: of eight bytes the first n
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SAFE_CUT = re.compile("[A-Za-z](?= )")
 
 
@@ -76,6 +79,37 @@ def starts_of_words(cp: np.ndarray, first: np.ndarray, bare: bool) -> np.ndarray
     return starts
 
 
+def distinct(cp: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each word, number of each word among them). Words of up to 16 bytes of Latin-1 are told apart by those; others may stand more than once."""
+    size, odd = ends - at, (cp == 0) | (cp > 255)
+    short = size <= 16
+    if odd.any():
+        before = np.append(0, np.cumsum(odd))
+        short &= before[ends] == before[at]
+    own = np.flatnonzero(short)
+    raw = np.zeros(len(cp) + 16, np.uint8)
+    raw[: len(cp)] = cp
+    eight = np.ndarray((len(cp) + 9,), "<u8", raw, strides=(1,))
+    a, n = at[own], size[own]
+    low = numbered(eight[a] & KEPT[np.minimum(n, 8)])
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        low[long] += (low.max() + 1) * (1 + numbered(eight[a[long] + 8] & KEPT[n[long] - 8]))
+        low = numbered(low)
+    rest = np.flatnonzero(~short)
+    most = low.max(initial=-1) + 1
+    number = np.empty(len(at), np.int64)
+    number[own], number[rest] = low, most + np.arange(len(rest))
+    one = np.empty(most + len(rest), np.int64)
+    one[number] = np.arange(len(at))
+    return one, number
+
+
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Equal values by equal numbers from 0."""
+    return pa.array(x).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 class Words:
     """Distinct words and their ids, about ``most`` of them; when full, it forgets the words met once, then the rarest.
 
@@ -117,7 +151,8 @@ class Words:
         self.used += len(flat)
         self.place.update(zip(words, range(n, n + m), strict=True))
 
-    def places(self, words: list[str]) -> np.ndarray:
+    def places(self, words: list[str], counts: np.ndarray | None = None) -> np.ndarray:
+        """Where the words stand; counts: how often each was met, once if not given."""
         if len(self.place) > self.most:
             self.forget()
         out = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -127,7 +162,7 @@ class Words:
             self.add([*dict.fromkeys(new)])
             out[missing] = [self.place[w] for w in new]
         n = len(self.place)
-        self.hits[:n] += np.bincount(out, minlength=n)
+        self.hits[:n] += np.bincount(out, counts, n).astype(np.int64)
         return out
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +241,9 @@ class TextEncoder:
             if odd.any():  # a whole stretch may begin with white space
                 keep |= ends - at > 1
             at, ends = at[keep], ends[keep]
-        words = [text[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-        out, each = self.words.gather(self.words.places(words))
+        one, number = distinct(cp, at, ends)
+        words = [text[a:b] for a, b in zip(at[one].tolist(), ends[one].tolist(), strict=True)]
+        out, each = self.words.gather(self.words.places(words, np.bincount(number, minlength=len(one)))[number])
         owner = np.asarray(owners)[np.searchsorted(begins + sizes, at, side="right")]
         counts += np.bincount(owner, weights=each, minlength=len(counts)).astype(np.int64)
         return out
