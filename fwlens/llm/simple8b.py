@@ -30,6 +30,8 @@ SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10
 COUNTS = np.array([c for c, _ in SELECTORS])
 BLOCK = 1024
 PAGE_IDS = 1 << 18
+#: distinct words whose ids a task keeps; beyond them rare ones are forgotten and encoded again
+WORDS_KEPT = 600_000
 PAD = 120
 
 
@@ -139,6 +141,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0,
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, page, start = encoder_of(content), TaskContext.get().partitionId(), 0, 0
+        encoder.words.most = WORDS_KEPT
         held_ids: list[np.ndarray] = []
         held_docs: list = []
         held_sizes: list[int] = []
