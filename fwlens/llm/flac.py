@@ -8,8 +8,8 @@ come as PCM blocks with the sample at which each begins.
 The encoder writes mono streams of 8 bits, a seek point for each frame, and takes for each frame the best of three fixed
 predictors, a linear predictor of order eight, constant and verbatim.
 
-``store_texts`` writes the streams of texts to a folder, those of common texts once; ``digests_of_stored`` and
-``stored_media`` read that folder, and ``store_pcm`` decodes streams into a folder of PCM blocks with sample offsets.
+``store_texts`` writes the streams of texts to a folder, those of common texts once, in pages compressed with zstd, since
+headers and seek tables are much alike; ``digests_of_stored`` and ``stored_media`` read that folder, and ``store_pcm`` decodes streams into a folder of PCM blocks with sample offsets.
 
 Defined results: a null text is the empty text; payloads are padded with blanks to a positive multiple of 192 bytes;
 equal texts give equal streams, and which of two copies is stored makes no difference; a stream that is damaged gives ``ok`` = false and as much as could be read, a null one
@@ -618,9 +618,9 @@ def store_texts(df: DataFrame, path: str, *, most: int = COMMON, id_col: str = "
     rows = counts.agg(F.sum("n")).first()[0] or 0
     common = F.broadcast(counts.where(F.col("n") >= max(2, math.ceil(rows / most))).select("h1", "h2"))
     shared = texts.join(common, ["h1", "h2"], "left_semi")
-    text_media(texts.join(common, ["h1", "h2"], "left_anti")).write.option("compression", "none").parquet(f"{path}/own")
+    text_media(texts.join(common, ["h1", "h2"], "left_anti")).write.option("compression", "zstd").parquet(f"{path}/own")
     shared.select("doc_id", "h1", "h2").write.parquet(f"{path}/copies")
-    text_media(shared.dropDuplicates(["h1", "h2"]), keep=("h1", "h2")).write.option("compression", "none").parquet(f"{path}/common")
+    text_media(shared.dropDuplicates(["h1", "h2"]), keep=("h1", "h2")).write.option("compression", "zstd").parquet(f"{path}/common")
 
 
 OWN = "doc_id long, n_bytes long, media binary"
