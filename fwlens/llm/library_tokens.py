@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 
 from .pretokens import TextEncoder
 
+#: words that go to the library in one text; a longer text costs it more time a word
+TOGETHER = 200
 # below this code point NFC changes nothing and lower case goes by single code points
 PLAIN_BELOW = "İ"
 
@@ -44,7 +46,7 @@ def library_encoder(content: str) -> TextEncoder:
         plain = [k for k, w in enumerate(words) if len(w) < 64 and "\n" not in w and not w.isspace() and w not in special]
         rest = sorted({*range(len(words))}.difference(plain))
         order, found = plain + rest, [one_by_one([words[k] for k in rest])] if rest else []
-        groups = [together([words[k] for k in plain[a : a + 1000]]) for a in range(0, len(plain), 1000)]
+        groups = [together([words[k] for k in plain[a : a + TOGETHER]]) for a in range(0, len(plain), TOGETHER)]
         ids, sizes = (np.concatenate(x) for x in zip(*groups, *found, strict=True))
         # back to the order of the words
         begin, back = np.empty(len(words), np.int64), np.empty(len(words), np.int64)

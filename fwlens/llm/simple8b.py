@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_vocabulary
-from .common import ids_and_texts, scratch_path, table
+from .common import give_back, ids_and_texts, scratch_path, table
 from .library_tokens import encoder_of
 
 # fixed values: the selectors of Simple-8b as (ids in a word, bits of each); 0 is the escape, 1 a run of zeros
@@ -171,6 +171,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0,
                         held_ids, held_docs, held_sizes = [], [], []
         if held_docs:
             yield close()
+        give_back()
 
     # the hash splits an id that many rows share; equal rows alone stay together
     rows = ids_and_texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
@@ -206,6 +207,7 @@ def read_documents(spark, path: str, ids: bool = True) -> DataFrame:
                 if ids:
                     columns.append(pa.array([flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+        give_back()
 
     # a row for each shard, and there are as many shards as the writer had tasks
     before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
