@@ -32,15 +32,16 @@ SAFE_CUT = re.compile("[A-Za-z](?= )")
 
 @functools.cache
 def classes() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its class, and whether that has stayed the same through the versions of Unicode."""
+    """For each code point its class, and whether that has stayed the same through the versions of Unicode; one that is unassigned here may have another class in the library's version."""
     kind = {"L": LETTER, "N": NUMBER}
     old = unicodedata.ucd_3_2_0.category
-    now, then = np.empty(0x110000, np.uint8), np.empty(0x110000, np.uint8)
+    now, then, assigned = np.empty(0x110000, np.uint8), np.empty(0x110000, np.uint8), np.empty(0x110000, bool)
     for i in range(0x110000):
         c = chr(i)
-        now[i] = kind.get(unicodedata.category(c)[0], OTHER)
+        own = unicodedata.category(c)
+        now[i], assigned[i] = kind.get(own[0], OTHER), own != "Cn"
         then[i] = kind.get(old(c)[0], OTHER)
-    stable = now == then
+    stable = (now == then) & assigned
     now[WHITE_SPACE] = SPACE
     stable[WHITE_SPACE] = True
     return now, stable
